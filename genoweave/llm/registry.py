@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .pii import op10_pattern_checksum_context
 from .sharding import op9_prefix_sum_shards
 
 
 def queries():
     return {
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
+        "op10_pattern_checksum_context": op10_pattern_checksum_context,
     }
 
 
