@@ -28,14 +28,14 @@ def balanced_shards(df: DataFrame, key: str, size: str, n_shards: int,
     equal keys are ordered by ``tie_breakers`` and are otherwise
     interchangeable, repeated rows each keep a slot. An empty table gives an
     empty result. Other columns pass through unchanged; helper columns avoid
-    their names. ``shard`` and ``slot`` must be new names.
+    their names, and columns named like the results are replaced.
     """
-    for name in (shard, slot):
-        if name.lower() in {c.lower() for c in df.columns}:
-            raise ValueError(f"column {name} exists already; name another")
+    df = df.drop(shard, slot)
     spark, columns = df.sparkSession, df.columns
     part = free_name(columns, "part_no")
-    byte0, row0, row = (free_name([*columns, part], x) for x in ("byte_start", "row_start", "row_no"))
+    byte0, row0, row, prior_bytes, all_bytes, of_shard, first_row = (
+        free_name([*columns, part, shard, slot], x)
+        for x in ("byte_start", "row_start", "row_no", "bytes_before", "all_bytes", "of_shard", "first_row"))
     order = [F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in tie_breakers)]
 
     ranged = df.repartitionByRange(shuffle_partitions(spark), *order).withColumn(part, F.spark_partition_id())
@@ -48,23 +48,23 @@ def balanced_shards(df: DataFrame, key: str, size: str, n_shards: int,
         F.col(part),
         F.coalesce(F.sum("bytes_in").over(before), F.lit(0)).alias(byte0),
         F.coalesce(F.sum("rows_in").over(before), F.lit(0)).alias(row0),
-        F.sum("bytes_in").over(W.partitionBy()).alias("all_bytes"),
+        F.sum("bytes_in").over(W.partitionBy()).alias(all_bytes),
     )
     inside = W.partitionBy(part).orderBy(*order)
     prior = inside.rowsBetween(W.unboundedPreceding, -1)
     placed = (
         ranged.withColumn(row, F.row_number().over(inside) - 1)
-        .withColumn("bytes_before", F.coalesce(F.sum(size).over(prior), F.lit(0)))
+        .withColumn(prior_bytes, F.coalesce(F.sum(size).over(prior), F.lit(0)))
         .join(F.broadcast(starts), part)
-        .withColumn(shard, F.expr(f"int(least((`{byte0}` + bytes_before) * {n_shards} div all_bytes, {n_shards - 1}))"))
+        .withColumn(shard, F.expr(f"int(least((`{byte0}` + `{prior_bytes}`) * {n_shards} div `{all_bytes}`, {n_shards - 1}))"))
         .withColumn(row, F.col(row) + F.col(row0))
         .select(*columns, shard, row)
     )
     placed = materialize(placed, "shard-placed")
-    firsts = placed.groupBy(shard).agg(F.min(row).alias("first_row")).withColumnRenamed(shard, "of_shard")
+    firsts = placed.groupBy(shard).agg(F.min(row).alias(first_row)).withColumnRenamed(shard, of_shard)
     return (
-        placed.join(F.broadcast(firsts), F.col(shard) == F.col("of_shard"))
-        .withColumn(slot, F.col(row) - F.col("first_row"))
+        placed.join(F.broadcast(firsts), F.col(shard) == F.col(of_shard))
+        .withColumn(slot, F.col(row) - F.col(first_row))
         .select(*columns, shard, slot)
     )
 
