@@ -5,12 +5,14 @@ from __future__ import annotations
 from .packing import op1_min_bin_slack_packing
 from .pii import op10_pattern_checksum_context
 from .sharding import op9_prefix_sum_shards
+from . import topk
 from .wavelet import op5_wavelet_matrix
 
 
 def queries():
     return {
         "op1_min_bin_slack_packing": op1_min_bin_slack_packing,
+        "op3_impact_ordered_topk": topk.op3_impact_ordered_topk,
         "op5_wavelet_matrix": op5_wavelet_matrix,
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
         "op10_pattern_checksum_context": op10_pattern_checksum_context,
@@ -18,4 +20,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op3_impact_ordered_topk": topk.ORACLE,
+    }
