@@ -1,17 +1,15 @@
 """Tokenizer-library encoding of whole texts, with a bounded cache of encoded words.
 
-A text is cut where every token must end anyway, at the start of a run of white
-space, so the ids of the text are the ids of its parts in order. Parts recur,
-so a worker keeps the ids of recent parts (two generations of at most
-``CACHE_WORDS`` each) and encodes only new ones. Texts with white space outside
-ASCII, where the cut would not be safe, are encoded whole. Special tokens'
-strings inside a text are ordinary text.
+A text is cut at spaces where every token must end anyway, so the ids of the text
+are the ids of its parts in order. Parts recur, so a worker keeps the ids of
+recent parts (two generations of about ``CACHE_WORDS`` each) and encodes only
+new ones. Texts with unusual white space, where a cut might not be safe, are
+encoded whole. Special tokens' strings inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
@@ -19,9 +17,12 @@ CACHE_WORDS = 400_000
 LONG_PART = 200  # characters; longer parts are not kept
 BATCH_WORDS = 200  # new parts encoded in one call
 
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]|[\x1c-\x1f\x85]")
-_PARTS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
-_encoders: dict[tuple[str, str], "WordEncoder"] = {}
+#: Characters that are white space for the tokenizers or for str.split but not one of " \\t\\n\\v\\f\\r".
+ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)),
+              "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+#: With one of these in a text, a space can stand inside a run of white space, so spaces are not safe cuts.
+RUNS = ("  ", "\n \n", "\t", "\r", "\f", "\v")
+_encoders: dict[str, "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,55 +46,86 @@ class WordEncoder:
         self.drops_space = not self.tok.encode(" \n ", add_special_tokens=False).ids
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
+        self.closes = np.zeros_like(self.opens)  # ids that end a word
         for token, i in vocab.items():
-            self.opens[i] = token.startswith("Ġ")
+            self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of new parts; those of the form ' word' are encoded many at a time."""
-        plain = [] if self.drops_space else [p for p in parts if p[0] == " " and p[1:2] not in (" ", "\t", "\n", "\r", "\f", "\v", "")]
-        known = {}
-        groups = [plain[i : i + BATCH_WORDS] for i in range(0, len(plain), BATCH_WORDS)]
-        for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+    def _joined(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts encoded many at a time; parts of a group whose ids can't be told apart are left out."""
+        known: dict[str, bytes] = {}
+        groups = [parts[i : i + BATCH_WORDS] for i in range(0, len(parts), BATCH_WORDS)]
+        lead = "" if self.drops_space else " "
+        for group, e in zip(groups, self.tok.encode_batch_fast([lead + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(group) and starts[0] == 0:
-                raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), ids.size * 4]
-                known |= {p: raw[cuts[i] : cuts[i + 1]] for i, p in enumerate(group)}
-        rest = [p for p in parts if p not in known]
-        known |= zip(rest, self._whole(rest))
+            if self.drops_space:
+                cuts = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
+            else:
+                cuts = np.append(np.flatnonzero(self.opens[ids]), ids.size)
+            if len(cuts) == len(group) + 1 and cuts[0] == 0 and cuts[-1] == ids.size:
+                raw, at = ids.tobytes(), (cuts * 4).tolist()
+                known |= {p: raw[at[i] : at[i + 1]] for i, p in enumerate(group)}
         return known
 
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts. A part that lost the space before it is told by its first character."""
+        if self.drops_space:  # a word of letters only is one unit to the tokenizer
+            known = self._joined([p for p in parts if p.isalpha()])
+        else:
+            known = self._joined([p for p in parts if p and not p[0].isspace() and not p[-1].isspace()])
+        rest = [p for p in parts if p not in known]
+        lead = "" if self.drops_space else " "
+        return known | dict(zip(rest, self._whole([lead + p for p in rest])))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Parts whose ids, in order, are the text's; each but the first of a spaced tokenizer had a space before it."""
+        if self.drops_space:
+            return text.split()
+        if any(r in text for r in RUNS) or text[-1].isspace():
+            return None
+        return text.split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and _ODD_SPACE.search(t)]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-        step = 64
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for at in range(0, len(rest), step):
-            some = rest[at : at + step]
-            parts = [((texts[i] or "").split() if self.drops_space else _PARTS.findall(texts[i] or "")) for i in some]
-            wanted = set().union(*parts)
-            missing = wanted.difference(self.young)
-            ready = {}
-            for p in missing & self.old.keys():
-                ready[p] = self.old[p]
-            if new := [p for p in missing if p not in ready]:
-                ready |= self._learn(new)
-            for p, ids in ready.items():
-                if len(p) <= LONG_PART:
-                    self.young[p] = ids
-            get = self.young.__getitem__
-            long = any(len(p) > LONG_PART for p in ready)
-            if long:
-                get = lambda p, a=self.young, b=ready: a[p] if p in a else b[p]
-            for i, p in zip(some, parts):
-                out[i] = b"".join(map(get, p))
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
+        out: list[bytes] = [b""] * len(texts)
+        for at in range(0, len(texts), 64):
+            whole, waiting, new = [], [], set()
+            get = self.young.get
+            for i in range(at, min(at + 64, len(texts))):
+                text = texts[i]
+                if not text:
+                    continue
+                if any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
+                    whole.append(i)
+                    continue
+                first, parts = b"", self._cut(text)
+                if parts is None:
+                    whole.append(i)
+                    continue
+                if not self.drops_space:
+                    head = parts.pop(0)
+                    first = self._whole([head])[0] if head else b""
+                got = list(map(get, parts))
+                if None in got:
+                    gaps = [k for k, ids in enumerate(got) if ids is None]
+                    missed = [parts[k] for k in gaps]
+                    new.update(missed)
+                    waiting.append((i, first, got, gaps, missed))
+                else:
+                    out[i] = first + b"".join(got)
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                out[i] = ids
+            if waiting:
+                ready = {p: self.old[p] for p in new & self.old.keys()}
+                ready |= self._learn([p for p in new if p not in ready])
+                for i, first, got, gaps, missed in waiting:
+                    for k, p in zip(gaps, missed):
+                        got[k] = ready[p]
+                    out[i] = first + b"".join(got)
+                self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
+                if len(self.young) > CACHE_WORDS:
+                    self.old, self.young = self.young, {}
         return out
 
 
