@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 LONG_PART = 200  # characters; longer parts are not kept
 BATCH_WORDS = 200  # new parts encoded in one call
 
@@ -40,6 +40,8 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        if hasattr(self.tok.model, "_resize_cache"):  # only new words get there, so its own cache only costs time
+            self.tok.model._resize_cache(0)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # a tokenizer that drops white space sees words, else a part keeps the space before it
@@ -117,7 +119,7 @@ class WordEncoder:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
             if waiting:
-                ready = {p: self.old[p] for p in new & self.old.keys()}
+                ready = {p: self.old[p] for p in new if p in self.old}
                 ready |= self._learn([p for p in new if p not in ready])
                 for i, first, got, gaps, missed in waiting:
                     for k, p in zip(gaps, missed):
