@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import topk
+from .decontam import op6_pigeonhole_decontamination
 from .language import op7_script_viterbi_language
 from .neardup import op8_superminhash_neardup
 from .packing import op1_min_bin_slack_packing
@@ -16,6 +17,7 @@ def queries():
         "op1_min_bin_slack_packing": op1_min_bin_slack_packing,
         "op3_impact_ordered_topk": topk.op3_impact_ordered_topk,
         "op5_wavelet_matrix": op5_wavelet_matrix,
+        "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
         "op7_script_viterbi_language": op7_script_viterbi_language,
         "op8_superminhash_neardup": op8_superminhash_neardup,
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
