@@ -15,7 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
@@ -97,7 +99,7 @@ class ItemMatcher:
             self.ready[n, a, b] = tuple((_masks(s), len(s)) for s in (right[:PROBE], left[:PROBE], right, left))
         return self.ready[n, a, b]
 
-    def match(self, text: str | None) -> dict[int, tuple[int, int, int]]:
+    def match(self, text: str | None, any_will_do: bool = False) -> dict[int, tuple[int, int, int]]:
         """For each item found: item number -> (distance, start, end) of its best occurrence in the normalised text."""
         found: dict[int, tuple[int, int, int]] = {}
         if not self.items:
@@ -124,9 +126,22 @@ class ItemMatcher:
                 l, back = prefix_distance(*left, before, budget - r)
                 if r + l <= budget and (known is None or r + l < known[0]):
                     found[n] = (r + l, begin - back, last + 1 + to)
+                    if any_will_do:
+                        return found
         return found
 
 
+def _item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items with id and text, in blocks of about ``BLOCK_CHARS`` characters."""
+    items = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text"))
+    items = items.filter("item_id is not null and item_text is not null")
+    total = items.agg(F.sum(F.length("item_text").cast("long") + 1)).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS)
+    for b in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).collect()
+        yield [(r[0], r[1]) for r in rows]
+
+
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                item_key: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """Rows (doc_id, item_id, distance, budget, start, end) for every item found in a row of ``docs``.
@@ -138,15 +153,11 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     normalised text. Only the named columns are read.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_id is not null and item_text is not null")
     schema = "doc_id long, item_id long, distance int, budget int, start long, end long"
-    total = items.agg(F.sum(F.length("item_text").cast("long") + 1)).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS)
     pairs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).collect()  # about BLOCK_CHARS characters
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    for block in _item_blocks(items, item_key, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = ItemMatcher(shared.value, error_rate)
@@ -166,6 +177,26 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def _clean(shared: Broadcast, error_rate: float):
+    """A boolean UDF: the text holds none of the broadcast items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = ItemMatcher(shared.value, error_rate)
+        for batch in batches:
+            yield pd.Series([not matcher.match(t, True) for t in batch], dtype=bool)
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
+                      item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item; rows and columns are otherwise unchanged, and nothing is shuffled."""
+    for block in _item_blocks(items, item_key, item_text):
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(block), error_rate)(F.col(text)))
+    return docs
+
+
 def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found, within a tenth of its characters, in every document."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -17,9 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 from .components import components
 from .shingles import GAMMA, mix, shingle_set
 
@@ -76,6 +76,10 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def set_identity(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -94,8 +98,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [keys.slice(first, at - first), pa.array([s.size for s in sets], pa.int64()),
                  pa.array([set_identity(s) if s.size else None for s in sets], pa.binary()),
-                 pa.array([next(bands) if s.size else None for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "bands"])
+                 pa.array([next(bands) if s.size else None for s in sets], pa.list_(pa.int64())), batch.column(2).slice(first, at - first)],
+                names=["doc_id", "n_shingles", "set_id", "bands", "text_hash"])
 
 
 def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -170,17 +174,18 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
+    """Rows (doc_id, n_shingles, component_id, kept, class_id, text_hash), one per row of ``docs``.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
     5-word shingles (all words, if fewer). Texts without words and null texts
     are linked with nothing. ``component_id`` is the smallest key reachable;
-    rows of one key with different texts are separate texts. Only ``key`` and
+    rows of one key with different texts are separate texts. ``class_id`` names the
+    class by one of its sets (null: no words). Only ``key`` and
     ``text`` are read. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
     signed = materialize(
-        docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, bands array<long>"), "signed")
+        docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, text_hash long"), "signed")
     nodes = signed.filter(F.col("set_id").isNotNull())
     node = F.xxhash64("set_id")  # only proposes groups, so a clash costs work, not correctness
 
@@ -196,19 +201,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     dealt = grouped.join(totals, "g").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     dealt = dealt.select("g", "set_id", F.col("doc_id").alias("of_doc"), pairs.alias("pairs"))
-    texts = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("g", F.explode("pairs").alias("p"), "set_id", "text")
+    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("g", F.explode("pairs").alias("p"), "set_id", "text")
     tasks = texts.select("g", "p.i", "p.j", "set_id", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     links = tasks.mapInArrow(_confirm(percent), "a binary, b binary")
 
     roots = components(links)
     rooted = sets.join(roots, sets.set_id == roots.node, "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.select("set_id", "root").join(smallest, "root").select("set_id", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    classes = rooted.select("set_id", "root").join(smallest, "root").select("set_id", "component_id", F.col("root").alias("class_id"))
+    out = signed.select("doc_id", "n_shingles", "set_id", "text_hash").join(classes, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+                      "class_id", "text_hash")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each near-duplicate class, and all rows without words.
+
+    Of a class the row with the smallest key stays; of repeated rows with that
+    key the first by the other columns. Columns are unchanged.
+    """
+    names = [free_name(docs.columns, x) for x in ("keep_key", "keep_hash", "keep_words", "text_hash_", "row_rank")]
+    keep_key, keep_hash, keep_words, hashed, rank = names
+    found = near_duplicates(docs, key, text, percent).filter("kept")
+    # a class can hold several texts with the smallest key; the smallest text hash decides
+    first = W.partitionBy("doc_id", "class_id").orderBy("text_hash")
+    winners = found.withColumn("place", F.row_number().over(first)).filter("place = 1 or class_id is null")
+    winners = winners.select(F.col("doc_id").alias(keep_key), F.col("text_hash").alias(keep_hash), F.col("class_id").isNotNull().alias(keep_words)).distinct()
+    here = docs.withColumn(hashed, text_hash(F.col(text)))
+    joined = here.join(winners, F.col(key).eqNullSafe(F.col(keep_key)) & (F.col(hashed) == F.col(keep_hash)))
+    others = [F.col(c) for c, kind in docs.dtypes if c not in (key, text) and not kind.startswith("map")]
+    again = W.partitionBy(key, hashed).orderBy(*(others or [F.col(hashed)]))
+    return joined.withColumn(rank, F.row_number().over(again)).filter((F.col(rank) == 1) | ~F.col(keep_words)).select(*docs.columns)
 
 
 def op8_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at similarity 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
