@@ -8,6 +8,7 @@ from .language import op7_script_viterbi_language
 from .neardup import op8_superminhash_neardup
 from .packing import op1_min_bin_slack_packing
 from .pii import op10_pattern_checksum_context
+from .ppm import op2_ppm_scores
 from .sharding import op9_prefix_sum_shards
 from .wavelet import op5_wavelet_matrix
 
@@ -15,6 +16,7 @@ from .wavelet import op5_wavelet_matrix
 def queries():
     return {
         "op1_min_bin_slack_packing": op1_min_bin_slack_packing,
+        "op2_ppm_scores": op2_ppm_scores,
         "op3_impact_ordered_topk": topk.op3_impact_ordered_topk,
         "op5_wavelet_matrix": op5_wavelet_matrix,
         "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
