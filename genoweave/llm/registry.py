@@ -10,6 +10,7 @@ from .packing import op1_min_bin_slack_packing
 from .pii import op10_pattern_checksum_context
 from .ppm import op2_ppm_scores
 from .sharding import op9_prefix_sum_shards
+from .substrings import op4_de_bruijn_substrings
 from .wavelet import op5_wavelet_matrix
 
 
@@ -18,6 +19,7 @@ def queries():
         "op1_min_bin_slack_packing": op1_min_bin_slack_packing,
         "op2_ppm_scores": op2_ppm_scores,
         "op3_impact_ordered_topk": topk.op3_impact_ordered_topk,
+        "op4_de_bruijn_substrings": op4_de_bruijn_substrings,
         "op5_wavelet_matrix": op5_wavelet_matrix,
         "op6_pigeonhole_decontamination": op6_pigeonhole_decontamination,
         "op7_script_viterbi_language": op7_script_viterbi_language,
