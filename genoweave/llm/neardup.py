@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     dealt = grouped.join(totals, "g").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     dealt = dealt.select("g", "set_id", F.col("doc_id").alias("of_doc"), pairs.alias("pairs"))
-    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("g", F.explode("pairs").alias("p"), "set_id", "text")
+    # always a merge join: the side without texts is a share of the documents, at no size a broadcast
+    texts = docs.select("doc_id", "text").join(dealt.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("g", F.explode("pairs").alias("p"), "set_id", "text")
     tasks = texts.select("g", "p.i", "p.j", "set_id", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     links = tasks.mapInArrow(_confirm(percent), "a binary, b binary")
 
