@@ -42,9 +42,11 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) ->
     for level in range(width - 1, -1, -1):
         one = (cur >> level & 1).astype(bool)
         sections.append(pack(np.packbits(one, bitorder="little").tobytes()))
-        low = cur[~one]
-        zeros.append(low.size)
-        cur = np.concatenate([low, cur[one]])
+        zeros.append(n - int(np.count_nonzero(one)))
+        parted = np.empty_like(cur)
+        np.compress(~one, cur, out=parted[: zeros[-1]])
+        np.compress(one, cur, out=parted[zeros[-1] :])
+        cur = parted
     known = np.array([d is not None for d in doc_ids], np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
     sections += [pack(known.tobytes()), pack(keys.tobytes()), pack(np.asarray(ends, "<u8").tobytes())]
@@ -146,8 +148,8 @@ class Shard:
         for level in range(self.width - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(cur)
-            up[~one] = cur[: self.zeros[level]]
-            up[one] = cur[self.zeros[level] :] | cur.dtype.type(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~one)] = cur[: self.zeros[level]]
+            up[np.flatnonzero(one)] = cur[self.zeros[level] :] | cur.dtype.type(1 << (self.width - 1 - level))
             cur = up
         return cur.astype("<u4")
 
