@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CONTIG_LENGTH = 3_000_000
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
+BASES = ("ACGT" * 14)[: len(LETTERS)]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,7 @@ def genotypes(spark, sf_dir):
 
 def reads(spark, sf_dir):
     text = F.substring(F.coalesce("text", F.lit("")), 1, 100)
-    bases = F.regexp_replace(F.translate(F.upper(text), "BDEFHIJKLMOPQRSUVWXYZ ", "ACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
+    bases = F.regexp_replace(F.translate(text, LETTERS, BASES), "[^ACGT]", "N")
     return read(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang"), bases.alias("bases"))
 
 
@@ -92,9 +94,8 @@ SQL = {
         CASE o_orderkey % 5 WHEN 0 THEN [0, 0] WHEN 1 THEN [0, 1] WHEN 2 THEN [1, 1] WHEN 3 THEN [NULL, NULL] ELSE [NULL, 1] END AS alleles,
         o_orderstatus = 'P' AS filtered
       FROM orders)""",
-    "reads": """reads AS (
-      SELECT doc_id, source, lang, regexp_replace(translate(upper(substr(coalesce(text, ''), 1, 100)),
-        'BDEFHIJKLMOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS bases
+    "reads": f"""reads AS (
+      SELECT doc_id, source, lang, regexp_replace(translate(substr(coalesce(text, ''), 1, 100), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') AS bases
       FROM documents)""",
 }
 
