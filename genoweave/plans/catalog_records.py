@@ -330,3 +330,21 @@ def hypergeometric_logp(spark, sf):
 @query("SELECT event_id, CAST(floor(value) + CASE WHEN value - floor(value) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS rounded FROM events")
 def java_rounding(spark, sf):
     return ad.read(spark, sf, "events").select("event_id", nu.round_half_up(F.col("value")).alias("rounded"))
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, event_type AS grp, CAST(floor(value / 25) AS BIGINT) AS bin, count(*) AS value FROM events GROUP BY ALL""")
+def stream_window_histogram(spark, sf):
+    from ..streaming import records as st
+
+    rows = st.stream_parquet(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.floor(F.col("value") / 25).alias("bin"))
+    counts = st.drain(st.windowed_histogram(rows, "ts", "event_type", "bin", "1 day"))
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "grp", "bin", "value")
+
+
+@query("SELECT o_orderkey, o_orderkey * 65536 + o_custkey % 65536 AS pointer, o_orderkey AS block, o_custkey % 65536 AS place FROM orders")
+def virtual_pointer(spark, sf):
+    from ..sources import binary as bn
+
+    made = bn.make_pointer(F.col("o_orderkey"), F.col("o_custkey") % 65536)
+    rows = ad.read(spark, sf, "orders").select("o_orderkey", made.alias("pointer"))
+    return rows.select("o_orderkey", "pointer", bn.pointer_block(F.col("pointer")).alias("block"), bn.pointer_offset(F.col("pointer")).alias("place"))
