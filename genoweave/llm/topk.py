@@ -190,18 +190,3 @@ def op3_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
     return top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10)
 
-
-ORACLE = """
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
