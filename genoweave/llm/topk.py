@@ -69,6 +69,8 @@ class ImpactIndex:
         self.ids, self.x = ids, vectors
         self.n, self.dim = vectors.shape
         self.peak = int(np.abs(vectors).max(initial=0))
+        if not self.dim:
+            return
         self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int64)
         self.value = np.take_along_axis(vectors.T, self.order, 1)
         low, high = self.value[:, :1], self.value[:, -1:]
@@ -139,9 +141,9 @@ def _search(k: int):
         for batch in batches:
             for dim, ids, vectors, query_ids, queries in zip(*(c.to_pylist() for c in batch.columns)):
                 if last != (ids, vectors):
-                    last, index = (ids, vectors), ImpactIndex(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dim))
+                    last, index = (ids, vectors), ImpactIndex(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1 if dim else len(ids) // 8, dim))
                 found: list[list] = [[], [], []]
-                for query_id, q in zip(np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(queries, "<i8").reshape(-1, dim)):
+                for query_id, q in zip(np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(queries, "<i8").reshape(-1 if dim else len(query_ids) // 8, dim)):
                     got, scores = index.search(q, query_id, k)
                     found[0] += [query_id] * len(got)
                     found[1] += got.tolist()
