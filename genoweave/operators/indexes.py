@@ -30,3 +30,41 @@ def coalesce_chunks(chunks: DataFrame, keys: list[str], block_bits: int = 16) ->
     opened = chunks.withColumn("opens", F.when(gap.isNull() | (gap > 1), 1).otherwise(0))
     numbered = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks")).drop("run")
+
+
+def consolidate_blocks(blocks: DataFrame, keys: list[str], gap: int = 1000) -> DataFrame:
+    """Byte ranges (start, end exclusive) joined where less than ``gap`` bytes lie between."""
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opened = blocks.withColumn("opens", F.when(reach.isNull() | (F.col("start") - reach >= gap), 1).otherwise(0))
+    numbered = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def feature_bins(features: DataFrame, width: int = 8000) -> DataFrame:
+    """Linear feature index: per contig every bin up to the last used one, its features, and the longest feature."""
+    used = features.groupBy("contig", F.floor(F.col("start") / width).alias("bin")).agg(
+        F.count(F.lit(1)).alias("features"), F.max(F.col("end") - F.col("start") + 1).alias("longest"))
+    whole = used.groupBy("contig").agg(F.max("bin").alias("top"), F.max("longest").alias("longest_feature"))
+    scaffold = whole.select("contig", "longest_feature", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("bin"))
+    return scaffold.join(used.drop("longest"), ["contig", "bin"], "left").na.fill(0, ["features"])
+
+
+def out_of_order(df: DataFrame, order: str, contig: str, start: str, keys: list[str]) -> DataFrame:
+    """Rows whose start goes back on the contig of the row before."""
+    w = W.partitionBy(*keys).orderBy(order)
+    return df.withColumn("prev_contig", F.lag(contig).over(w)).withColumn("prev_start", F.lag(start).over(w)).filter(
+        (F.col("prev_contig") == F.col(contig)) & (F.col("prev_start") > F.col(start))).drop("prev_contig", "prev_start")
+
+
+def symbol_pairs(df: DataFrame, text: str) -> DataFrame:
+    """Counts of symbol pairs (previous, symbol; the first of a text has an empty previous)."""
+    symbols = F.filter(F.split(text, ""), lambda c: c != "")
+    pairs = F.transform(symbols, lambda c, i: F.struct(F.when(i > 0, F.element_at(symbols, i)).otherwise("").alias("prev"), c.alias("sym")))
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.prev", "p.sym").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_sets(df: DataFrame, tags: str, ordinal: str) -> DataFrame:
+    """Distinct sorted tag lists with dense ids in first-seen order (the dictionary is small, one window ranks it)."""
+    seen = df.groupBy(F.array_join(F.array_sort(tags), ",").alias("tags")).agg(F.min(ordinal).alias("first"), F.count(F.lit(1)).alias("n"))
+    return seen.withColumn("id", F.row_number().over(W.orderBy("first")) - 1)

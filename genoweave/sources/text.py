@@ -121,3 +121,40 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 def write_lines(df: DataFrame, column: str, path: str, compression: str | None = None) -> None:
     """Write one column as text files."""
     df.select(F.col(column).alias("value")).write.text(path, compression=compression)
+
+
+def header_attributes(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Alignment header lines as rows: kind (HD, SQ, …), ord of the attribute, key, value; other lines give none."""
+    lines_ = df.filter(F.col("value").rlike("^@(HD|SQ|RG|PG)\t"))
+    attributes = F.slice(F.split("value", "\t"), 2, 1 << 20)
+    rows = lines_.select(*keep, F.substring("value", 2, 2).alias("kind"), F.posexplode(attributes).alias("ord", "a"))
+    return rows.select(*keep, "kind", "ord", F.substring("a", 1, 2).alias("key"), F.substring("a", 4, 1 << 30).alias("value"))
+
+
+def variant_header_fields(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Structured variant header lines as (kind, id, number, type, description); a quoted value may hold commas."""
+    body = df.filter(F.col("value").rlike("^##[A-Za-z]+=<.*>$"))
+    inner = F.regexp_extract("value", "^##[A-Za-z]+=<(.*)>$", 1)
+    field = r'([A-Za-z0-9_]+)=("(?:[^"\\\\]|\\\\.)*"|[^,]*)'
+    pairs = F.arrays_zip(F.regexp_extract_all(inner, F.lit(field), F.lit(1)).alias("k"), F.regexp_extract_all(inner, F.lit(field), F.lit(2)).alias("v"))
+    last = lambda key: F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
+    plain = lambda c: F.regexp_replace(c, '^"|"$', "")
+    return body.select(*keep, F.regexp_extract("value", "^##([A-Za-z]+)=", 1).alias("kind"), last("ID").alias("id"), last("Number").alias("number"), last("Type").alias("type"), plain(last("Description")).alias("description"))
+
+
+def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of liftover chain files: chain_id, contig, from_start, from_end (0-based half-open), to_contig, to_start, to_size, opposite, block."""
+    chains = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit("(?m)^chain [^\n]*(?:\n[0-9][^\n]*)+"), F.lit(0))).alias("c"))
+    rows = F.split("c", "\n")
+    head = F.split(rows[0], " +")
+    sizes = F.transform(F.slice(rows, 2, 1 << 30), lambda r: F.transform(F.split(F.trim(r), "[ \t]+"), lambda x: x.cast("long")))
+    zero = F.struct(head[5].cast("long").alias("f"), head[10].cast("long").alias("t"), F.array().cast("array<struct<from_start:bigint,from_end:bigint,to_start:bigint>>").alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        size, gap_f, gap_t = b[0], F.coalesce(F.get(b, F.lit(1)), F.lit(0)), F.coalesce(F.get(b, F.lit(2)), F.lit(0))
+        block = F.array(F.struct(a["f"].alias("from_start"), (a["f"] + size).alias("from_end"), a["t"].alias("to_start")))
+        return F.struct((a["f"] + size + gap_f).alias("f"), (a["t"] + size + gap_t).alias("t"), F.concat(a["out"], block).alias("out"))
+
+    out = chains.select(head.alias("h"), F.posexplode(F.aggregate(sizes, zero, step, lambda a: a["out"])).alias("block", "b"))
+    h = lambda i: F.col("h")[i]
+    return out.select(h(12).cast("long").alias("chain_id"), h(2).alias("contig"), "b.from_start", "b.from_end", h(7).alias("to_contig"), "b.to_start", h(8).cast("long").alias("to_size"), (h(9) == "-").alias("opposite"), "block")

@@ -52,3 +52,16 @@ def test_write_lines(spark, tmp_path):
     df = spark.range(100).select(F.concat(F.lit("r"), "id").alias("x"))
     tx.write_lines(df, "x", str(tmp_path / "out"), "gzip")
     assert tx.lines(spark, str(tmp_path / "out")).count() == 100
+
+
+def test_chain_file_and_liftover(spark, tmp_path):
+    from genoweave.operators.liftover import lift
+
+    (tmp_path / "a.chain").write_text(
+        "# note\nchain 100 c1 1000 + 0 105 d1 2000 + 1000 1105 1\n50 5 5\n50\n\nchain 9 c2 500 + 10 60 d2 300 - 20 70 2\n50\n")
+    blocks = tx.chain_blocks(spark, str(tmp_path / "a.chain"))
+    rows = [(r.chain_id, r.contig, r.from_start, r.from_end, r.to_contig, r.to_start, r.opposite, r.block) for r in blocks.orderBy("chain_id", "block").collect()]
+    assert rows == [(1, "c1", 0, 50, "d1", 1000, False, 0), (1, "c1", 55, 105, "d1", 1055, False, 1), (2, "c2", 10, 60, "d2", 20, True, 0)]
+    cases = [(0, "c1", 1, 10), (1, "c1", 45, 60), (2, "c2", 11, 20), (3, "c3", 1, 5), (4, "c2", 51, 70)]
+    got = {r.k: (r.lifted_contig, r.lifted_start, r.lifted_end) for r in lift(spark.createDataFrame(cases, "k int, contig string, start long, end long"), "k", blocks).collect()}
+    assert got == {0: ("d1", 1001, 1010), 1: (None, None, None), 2: ("d2", 271, 280), 3: (None, None, None), 4: (None, None, None)}
