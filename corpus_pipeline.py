@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoweave.llm.common import crc_mod, free_name, materialize, table
+from genoweave.llm.common import crc_mod, free_name, materialize, ship_code, table
 from genoweave.llm.decontam import drop_contaminated
 from genoweave.llm.language import identify, train
 from genoweave.llm.neardup import one_of_each
@@ -23,6 +23,7 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters, mostly of one language."""
+    ship_code(spark)
     model = train(docs.filter(crc_mod("doc_id", 3) != 1))
     clash = {c: free_name([*docs.columns, "lang_pred", "score"], f"own_{c}") for c in docs.columns if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(clash), model)
@@ -32,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class at similarity 0.85."""
+    ship_code(spark)
     return one_of_each(docs)
 
 
@@ -54,6 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 4096 tokens."""
+    ship_code(spark)
     pieces = materialize(token_pieces(docs, tokenizer_path("word_bpe_49k.json")), "pieces")
     return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"])
 
