@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -59,3 +60,42 @@ def log_choose(n: Column, k: Column) -> Column:
 def hypergeometric_log(k: Column, draws: Column, successes: Column, total: Column) -> Column:
     """log probability of k successes among ``draws`` without replacement."""
     return log_choose(successes, k) + log_choose(total - successes, draws - k) - log_choose(total, draws)
+
+
+def _quantile(p: float) -> float:
+    if not 0 < p < 1:
+        return {0.0: -math.inf, 1.0: math.inf}.get(p, math.nan)
+    return NormalDist().inv_cdf(p)
+
+
+@F.pandas_udf(DoubleType())
+def normal_quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Inverse of the standard normal distribution; infinite at 0 and 1, null outside."""
+    return _over(_quantile, batches)
+
+
+def _gamma_p(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function, by its series below a + 1 and its continued fraction above."""
+    if not (a > 0 and x >= 0):
+        return math.nan
+    if x == 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = 0
+        while abs(term) > abs(total) * 1e-16 and n < 10_000:
+            n += 1
+            term *= x / (a + n)
+            total += term
+        return front * total
+    value = 0.0
+    for k in range(200 + int(10 * math.sqrt(a)), 0, -1):  # evaluated from the inside
+        value = k * (a - k) / (x + 2 * k + 1 - a + value)
+    return 1 - front / (x + 1 - a + value)
+
+
+@F.pandas_udf(DoubleType())
+def regularized_gamma(shapes: pd.Series, points: pd.Series) -> pd.Series:
+    """P(a, x); null for a <= 0 or x < 0."""
+    return pd.Series([_gamma_p(float(a), float(x)) for a, x in zip(shapes, points)], dtype=float)

@@ -348,3 +348,15 @@ def virtual_pointer(spark, sf):
     made = bn.make_pointer(F.col("o_orderkey"), F.col("o_custkey") % 65536)
     rows = ad.read(spark, sf, "orders").select("o_orderkey", made.alias("pointer"))
     return rows.select("o_orderkey", "pointer", bn.pointer_block(F.col("pointer")).alias("block"), bn.pointer_offset(F.col("pointer")).alias("place"))
+
+
+@query("SELECT event_id, round(1 - exp(-value / 20), 9) AS p FROM events")
+def gamma_cumulative(spark, sf):
+    """With shape 1 the regularised gamma function is the exponential distribution."""
+    return ad.read(spark, sf, "events").select("event_id", F.round(nu.regularized_gamma(F.lit(1.0), F.col("value") / 20), 9).alias("p"))
+
+
+@query("SELECT p_partkey, round((p_size - 25.5) / 10, 6) AS z FROM part")
+def normal_quantile_roundtrip(spark, sf):
+    z = (F.col("p_size") - 25.5) / 10
+    return ad.read(spark, sf, "part").select("p_partkey", F.round(nu.normal_quantile(nu.normal_cdf(z)), 6).alias("z"))

@@ -114,3 +114,14 @@ def test_line_formats(spark, tmp_path):
     vcf = spark.createDataFrame([("##x",), ("c1\t5\t.\tacg\t.\t.\tPASS\tEND=90;DP=1",), ("c1\t5\ti\tAC\tA,<D>\t3\tq\t.\tGT\t0/1",)], "value string")
     got = [(r.stop, r.alleles, r.genotypes) for r in tx.vcf_records(vcf).collect()]
     assert got == [(90, ["ACG"], None), (6, ["AC", "A", "<D>"], "GT\t0/1")]
+
+
+def test_gamma_and_quantile(spark):
+    # P(n, x) is the chance of at least n events at rate x
+    for a in (1, 2, 5, 30):
+        for x in (0.1, 1.0, 4.0, 29.0, 31.0, 80.0):
+            want = 1 - sum(math.exp(-x) * x**k / math.factorial(k) for k in range(a))
+            assert abs(nu._gamma_p(a, x) - want) < 1e-12, (a, x)
+    df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.5,)], "p double")
+    got = [r.x for r in df.select(nu.normal_quantile(F.col("p")).alias("x")).collect()]
+    assert got[:3] == [float("-inf"), 0.0, float("inf")] and got[3] is None
