@@ -2,8 +2,10 @@
 
 An item may occur with up to ``error_rate`` of its characters edited. It is cut
 into that budget plus one pieces, so every such occurrence holds one piece
-unchanged. All pieces are searched at once in each whole text, and a hit is
-verified with Myers' bit-parallel edit distance to its left and to its right.
+unchanged. All pieces are searched at once in each whole text. A hit around
+which more of the item's letter grams are missing than its budget of edits can
+destroy is dropped; any other is verified with Myers' bit-parallel edit distance
+to its left and to its right.
 Texts and items are compared in lower case with white space runs as one space.
 
 Items are broadcast in blocks of about ``BLOCK_CHARS`` characters, each matched
@@ -25,7 +27,7 @@ from .common import table
 ERROR_RATE = 0.1
 MIN_CHARS = 20  # shorter items (after normalising) say nothing about leakage and match nothing
 BLOCK_CHARS = 1_000_000
-PROBE = 32  # characters next to a piece that are compared first
+GRAM = 3  # an edit destroys at most so many of an item's grams of that length
 
 
 def normal(text: str | None) -> str:
@@ -89,14 +91,15 @@ class ItemMatcher:
             self.automaton.add_word(piece, places)
         if pieces:
             self.automaton.make_automaton()
+        self.grams = [frozenset(t[i : i + GRAM] for i in range(len(t) - GRAM + 1)) for t, _, _ in self.items]
         self.ready: dict[tuple[int, int, int], tuple] = {}
 
     def _sides(self, n: int, a: int, b: int) -> tuple:
-        """Masks of the item right of a piece and (reversed) left of it, for the probe and in full."""
+        """Masks and lengths of the item right of a piece and (reversed) left of it."""
         if (n, a, b) not in self.ready:
             t = self.items[n][0]
             right, left = t[b:], t[:a][::-1]
-            self.ready[n, a, b] = tuple((_masks(s), len(s)) for s in (right[:PROBE], left[:PROBE], right, left))
+            self.ready[n, a, b] = tuple((_masks(s), len(s)) for s in (right, left))
         return self.ready[n, a, b]
 
     def match(self, text: str | None, any_will_do: bool = False) -> dict[int, tuple[int, int, int]]:
@@ -111,15 +114,13 @@ class ItemMatcher:
                 known = found.get(n)
                 if known and known[0] == 0:
                     continue  # nothing better can come
-                probe_right, probe_left, right, left = self._sides(n, a, b)
-                after = t[last + 1 : last + 1 + right[1] + budget]
-                before = t[max(0, begin - left[1] - budget) : begin][::-1]
-                r, _ = prefix_distance(*probe_right, after[: PROBE + budget], budget)
-                if r > budget:
-                    continue
-                l, _ = prefix_distance(*probe_left, before[: PROBE + budget], budget - r)
-                if r + l > budget:
+                left_size, right_size = a + budget, len(self.items[n][0]) - b + budget
+                window = t[max(0, begin - left_size) : last + 1 + right_size]
+                present = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
+                if len(self.grams[n] - present) > GRAM * budget:
                     continue
+                right, left = self._sides(n, a, b)
+                after, before = t[last + 1 : last + 1 + right_size], t[max(0, begin - left_size) : begin][::-1]
                 r, to = prefix_distance(*right, after, budget)
                 if r > budget:
                     continue

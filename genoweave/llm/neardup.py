@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     members = nodes.select(node.alias("node"), "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("band", "hub")
+    hubs = materialize(hubs, "hubs")  # written, so that the join reads two plain exchanges and a frequent band can be split
     near = members.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     groups = components(near).select("node", F.col("root").alias("g"))
 

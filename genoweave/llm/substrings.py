@@ -153,7 +153,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     length = F.shiftright("place", PRINT_BITS + 1).bitwiseAND((1 << LENGTH_BITS) - 1)
     code = F.shiftleft(F.shiftleft(start, LENGTH_BITS) + length, PRINT_BITS) + mark
     branching = shared.filter("branching").select("path", "doc", "place")
-    first = branching.groupBy("path").agg(F.min("doc").alias("smallest"))
+    # written, so that the join below reads two plain exchanges and a frequent path's rows can be split
+    first = materialize(branching.groupBy("path").agg(F.min("doc").alias("smallest")), "first-of-path")
     branching = branching.join(first, "path")
     # a path that a smaller document holds as a whole goes as a whole; its first document's windows are compared one by one
     whole = shared.filter("not branching").unionByName(branching.filter("smallest < doc"), allowMissingColumns=True).select("doc", code.alias("code"))
