@@ -25,6 +25,7 @@ from .common import crc_mod, free_name, table
 TRAIN_DOCS = 2000
 SWITCH = 8.0  # cost of a change of language, in nats
 CACHE_WORDS = 400_000
+TEXTS = 2000  # texts labelled together; bounds what a worker holds besides a batch
 OTHER = -30.0  # emission of a language whose scripts a word doesn't fit
 
 #: First and last code points of scripts.
@@ -243,7 +244,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", spans: boo
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            langs, scores, found = labeller.label(batch.tolist(), spans)
+            parts = [labeller.label(batch.iloc[at : at + TEXTS].tolist(), spans) for at in range(0, len(batch), TEXTS)]
+            langs, scores, found = ([x for part in parts for x in part[k]] for k in range(3))
             out = {"lang_pred": langs, "score": scores}
             yield pd.DataFrame(out | ({"lang_spans": found} if spans else {}))
 
