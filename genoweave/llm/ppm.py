@@ -13,11 +13,14 @@ most ``CLASSES`` of them and one for the rest). A scored text's label is not
 looked at: its probability is the mixture of the classes' by their shares.
 
 Training counts every word of the training texts; the trie is gathered from the
-distinct words and their counts. A context-symbol pair enters the trie from a
-share of 1 / ``SHARE`` of all symbols on, so each depth has at most ``SHARE``
-pairs and the trie can be broadcast whatever the corpus is. The unigram base
-needs exact counts of all words: frequent ones (share of 1 / ``WORD_SHARE``, so a
-bounded number) are broadcast, occurrences of all others are joined.
+distinct words and their counts, and all its context-symbol pairs are kept, as a
+table. A symbol's probability needs the pairs of its own contexts only, and those
+of two bytes or more end with the same two bytes. So pairs and the symbols of
+distinct words are dealt to shards by these two bytes; a task holds the pairs of
+one shard at a time. Pairs of shorter contexts (at most 256 * 257 a class) go to
+all tasks. Each distinct word is scored once, under each class, and its code
+lengths and count are joined to its occurrences; those of frequent words (share of
+1 / ``WORD_SHARE`` of all words, so a bounded number) are broadcast instead.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from .shingles import words_of
 
 DEPTH = 6
 CLASSES = 8
-SHARE = 1 << 22
+SHARE = math.inf  # pairs below 1 / SHARE of all symbols are left out: none
 WORD_SHARE = 1 << 21
 FLUSH = 300_000  # distinct words counted in a task before they are passed on
 CACHE_WORDS = 400_000
@@ -45,6 +48,7 @@ CACHE_WORDS = 400_000
 #: Bytes that no word holds, standing for a word's start, a word's end and the text's end.
 START, WORD_END, TEXT_END = 0x0D, 0x20, 0x0A
 SYMBOLS = 256
+NEAR = 2  # bytes that contexts of a shard end with
 
 
 def word_hash(word: bytes) -> int:
@@ -155,34 +159,40 @@ class Trie:
         at = np.minimum(np.searchsorted(table_, keys), max(0, table_.size - 1))
         return at, (table_[at] == keys) if table_.size else np.zeros(keys.size, bool)
 
-    def log_probability(self, words: list[bytes], c: int = 0) -> np.ndarray:
-        """log10 of each word's probability in class ``c`` (b'\\n' is the text's end)."""
-        places, history, raw = spell(words)
-        deepest = np.minimum(history[places], DEPTH)
-        logs = np.zeros(places.size)
-        excluded = np.full(places.size, -1)  # context whose symbols are excluded
-        waiting = np.arange(places.size)
+    def log_of(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of each last symbol's probability after the bytes before it (keys of the longest contexts)."""
+        keys, logs = grams.copy(), np.zeros(grams.size)
+        excluded = np.full(grams.size, -1)  # context whose symbols are excluded
+        waiting = np.arange(grams.size)
         for order in range(DEPTH, -1, -1):
-            now = waiting[deepest[waiting] >= order]
+            now = waiting[orders(keys[waiting]) == order]
             if not now.size:
                 continue
-            keys = of_class(gram_keys(raw, places[now], order), c)
-            ctx, known = self._find(self.contexts, context_of(keys))
-            now, keys, ctx = now[known], keys[known], ctx[known]
-            above = excluded[now]
+            ctx, known = self._find(self.contexts, context_of(keys[now]))
+            here, ctx = now[known], ctx[known]
+            above = excluded[here]
             total = np.where(above >= 0, self.rest_total[above], self.total[ctx])
             kinds = np.where(above >= 0, self.rest_symbols[above], self.symbols[ctx])
-            at, seen = self._find(self.keys, keys)
-            logs[now[seen]] += np.log10((self.counts[at[seen]] - 0.5) / total[seen])
+            at, seen = self._find(self.keys, keys[here])
+            logs[here[seen]] += np.log10((self.counts[at[seen]] - 0.5) / total[seen])
             out = ~seen & (kinds > 0)
-            logs[now[out]] += np.log10(kinds[out] / (2 * total[out]))
-            excluded[now[~seen]] = ctx[~seen]
-            resolved = np.zeros(places.size, bool)
-            resolved[now[seen]] = True
+            logs[here[out]] += np.log10(kinds[out] / (2 * total[out]))
+            excluded[here[~seen]] = ctx[~seen]
+            resolved = np.zeros(grams.size, bool)
+            resolved[here[seen]] = True
+            if order:
+                left = now[~resolved[now]]
+                keys[left] = shorter(keys[left])
             waiting = waiting[~resolved[waiting]]
-        at, there = self._find(self.contexts, np.array([c << 59], np.uint64))
-        root = int(self.symbols[at[0]]) if there[0] else 0
-        logs[waiting] -= math.log10(max(1, SYMBOLS - root))
+        at, there = self._find(self.contexts, context_of(keys[waiting]))
+        root = np.where(there, self.symbols[at] if self.symbols.size else 0, 0)
+        logs[waiting] -= np.log10(np.maximum(1, SYMBOLS - root))
+        return logs
+
+    def log_probability(self, words: list[bytes], c: int = 0) -> np.ndarray:
+        """log10 of each word's probability in class ``c`` (b'\\n' is the text's end)."""
+        places, history, raw = spell(words)
+        logs = self.log_of(of_class(gram_keys(raw, places, np.minimum(history[places], DEPTH)), c))
         starts = np.flatnonzero(raw == START)
         by_place = np.zeros(raw.size)
         by_place[places] = logs
@@ -217,16 +227,69 @@ def count_words(docs: DataFrame, text: str, group: str) -> DataFrame:
 
 @dataclass
 class Model:
-    trie: Trie
+    low: tuple[np.ndarray, np.ndarray]  # keys and counts of the pairs with contexts shorter than NEAR
     train_tokens: int
     vocabulary: int
     hashes: np.ndarray  # of the frequent words, sorted
     counts: np.ndarray
+    codes: np.ndarray  # log10 probabilities of the frequent words, a column per class
     shares: dict[int, float]  # of the classes
 
 
-def train(docs: DataFrame, text: str = "text", label: str | None = None) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the table (hash, n) of all words less frequent than it holds.
+def code_lengths(words: DataFrame, pairs: DataFrame, low: tuple[np.ndarray, np.ndarray], classes: list[int]) -> DataFrame:
+    """Rows (word, n, code_0, code_1, ...): log10 of each word's probability under each class, for distinct ``words`` (word, n)."""
+    shared = words.sparkSession.sparkContext.broadcast(low)
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, history, raw = spell(batch.column(0).to_pylist())
+            order = np.minimum(history[places], DEPTH)
+            keys = gram_keys(raw, places, order)
+            word = (np.cumsum(raw == START) - 1)[places]
+            shard = (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int32)
+            first = order < NEAR  # the pairs that every task has suffice for these, so they are dealt evenly
+            shard[first] = START | 256 * (256 + word[first] % 251)
+            n = np.where(first, batch.column(1).to_numpy()[word], 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), batch.column(0).take(pa.array(word)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["shard", "word", "gram", "n"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low_keys, low_counts = shared.value
+        last_byte, ordered = low_keys >> np.uint64(8) & np.uint64(0xFF), orders(low_keys)
+        current, trie, held = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shards, grams, counts = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+            trained = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(trained.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if shards[a] != current:
+                    current, trie, held = shards[a], None, []
+                if trained[a]:
+                    held.append((grams[a:b], counts[a:b]))
+                    continue
+                if trie is None:
+                    short = (ordered == 0) | (last_byte == np.uint64(int(current) & 0xFF))
+                    trie = Trie.build(np.concatenate([low_keys[short], *(k for k, _ in held)]), np.concatenate([low_counts[short], *(n for _, n in held)]))
+                    held = []
+                some, back = np.unique(grams[a:b], return_inverse=True)
+                found = [pa.array(trie.log_of(of_class(some, c))[back].astype(np.float32)) for c in classes]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), *found], names=names)
+
+    names = ["word", "n", *(f"code_{k}" for k in range(len(classes)))]
+    asked = words.select("word", "n").mapInArrow(symbols, "shard int, word binary, gram long, n long")
+    known = pairs.filter(F.col("order") >= NEAR).select(
+        F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("shard"), F.lit(None).cast("binary").alias("word"), "gram", "n")
+    dealt = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("word").isNotNull())
+    logs = dealt.mapInArrow(solve, "word binary, n long, " + ", ".join(f"{c} float" for c in names[2:]))
+    return logs.groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+
+def train(docs: DataFrame, text: str = "text", label: str | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows of ``docs``, the table of its pairs, and (word, n, code_0, ...) of all words less frequent than it holds.
 
     Null texts count as empty; rows with a null or infrequent label are the
     class of the rest. An empty table gives a model that knows nothing.
@@ -244,7 +307,7 @@ def train(docs: DataFrame, text: str = "text", label: str | None = None) -> tupl
     n, letters = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.octet_length("word") + F.when(end, 0).otherwise(1))), F.lit(0))).first()
     texts = {r[0]: r[1] for r in words.filter(end).select("c", "n").collect()}
-    shares = {c: x / sum(texts.values()) for c, x in texts.items()}
+    shares = {c: x / sum(texts.values()) for c, x in texts.items()} or {0: 1.0}
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,17 +318,22 @@ def train(docs: DataFrame, text: str = "text", label: str | None = None) -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums, pa.int64())], names=["gram", "n"])
 
     pairs = words.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    kept = pairs.filter(F.col("n") * SHARE >= letters).toArrow()  # at most SHARE pairs of each order
-    trie = Trie.build(kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy())
-    hashed = materialize(words.groupBy("word").agg(F.sum("n").alias("n")).select(F.xxhash64("word").alias("hash"), "n"), "word-hashes")
+    if math.isfinite(SHARE):
+        pairs = pairs.filter(F.col("n") * SHARE >= letters)
+    pairs = materialize(pairs.withColumn("order", F.shiftright("gram", 56).bitwiseAND(F.lit(7))), "pairs")
+    short = pairs.filter(F.col("order") < NEAR).toArrow()  # at most 256 * 257 pairs of each class
+    low = short["gram"].to_numpy().view(np.uint64), short["n"].to_numpy()
+    coded = materialize(code_lengths(words.groupBy("word").agg(F.sum("n").alias("n")), pairs, low, list(shares)), "coded")
     frequent = F.col("n") * WORD_SHARE >= n
-    top = hashed.filter(frequent).toArrow()  # at most WORD_SHARE words
+    columns = [f"code_{k}" for k in range(len(shares))]
+    top = coded.filter(frequent).select(F.xxhash64("word").alias("hash"), "n", *columns).toArrow()  # at most WORD_SHARE words
     order = np.argsort(top["hash"].to_numpy())
-    return Model(trie, n, hashed.count(), top["hash"].to_numpy()[order], top["n"].to_numpy()[order], shares), hashed.filter(~frequent)
+    codes = np.stack([top[c].to_numpy()[order] for c in columns], 1)
+    return Model(low, n, coded.count(), top["hash"].to_numpy()[order], top["n"].to_numpy()[order], codes, shares), pairs, coded.filter(~frequent)
 
 
 class Scorer:
-    """Scores of texts under a model; keeps those of recent words."""
+    """Sums over the frequent words of texts under a model, and the other words; keeps what it looked up of recent words."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -273,31 +341,28 @@ class Scorer:
 
     def _clear(self) -> None:
         self.ids: dict[bytes, int] = {}
-        self.log = np.zeros((1024, max(1, len(self.model.shares))))
+        self.words: list[bytes] = []
+        self.log = np.zeros((1024, len(self.model.shares)))
         self.count = np.zeros(1024, np.int64)  # -1: not among the frequent
-        self.hash = np.zeros(1024, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         first, need = len(self.ids), len(self.ids) + len(words)
         if need > len(self.log):
             size = max(need, 2 * len(self.log))
-            self.log = np.resize(self.log, (size, self.log.shape[1]))
-            self.count, self.hash = np.resize(self.count, size), np.resize(self.hash, size)
+            self.log, self.count = np.resize(self.log, (size, self.log.shape[1])), np.resize(self.count, size)
         hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
         known = self.model.hashes
         at = np.minimum(np.searchsorted(known, hashes), max(0, known.size - 1))
         there = (known[at] == hashes) if known.size else np.zeros(len(words), bool)
         self.count[first:need] = np.where(there, self.model.counts[at] if known.size else 0, -1)
-        self.hash[first:need] = hashes
-        for k, c in enumerate(self.model.shares or {0: 1.0}):
-            self.log[first:need, k] = self.model.trie.log_probability(words, c)
+        self.log[first:need] = np.where(there[:, None], self.model.codes[at] if known.size else 0.0, 0.0)
         self.ids |= zip(words, range(first, need))
+        self.words += words
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple[int, float, float, int, np.ndarray, np.ndarray]]:
-        """Per text: tokens, log10 probability, sum of log10(c + 0.5) and tokens over frequent words, hashes and counts of the others."""
+    def score(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, float, int, list[bytes], np.ndarray]]:
+        """Per text: tokens; log10 probability by class, sum of log10(c + 0.5) and tokens over frequent words; the others and their counts."""
         if len(self.ids) > CACHE_WORDS:
             self._clear()
-        shares = np.log10(list((self.model.shares or {0: 1.0}).values()))
         for at in range(0, len(texts), 32):
             some = [words_of(t, True) for t in texts[at : at + 32]]
             for w in some:
@@ -308,16 +373,15 @@ class Scorer:
                 ids = np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w))
                 c = self.count[ids]
                 frequent = c > 0
-                others, times = np.unique(self.hash[ids[~frequent]], return_counts=True)
-                by_class = self.log[ids].sum(0) + shares
-                top = by_class.max()
-                yield len(w), float(top + np.log10(np.power(10.0, by_class - top).sum())), float(np.log10(c[frequent] + 0.5).sum()), int(frequent.sum()), others, times
+                others, times = np.unique(ids[~frequent], return_counts=True)
+                yield len(w), self.log[ids].sum(0), float(np.log10(c[frequent] + 0.5).sum()), int(frequent.sum()), [self.words[i] for i in others], times
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, pairs: DataFrame, rare: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, *keep, n_tokens, n_known, base_score, score), one per row of ``docs``.
 
-    Null texts are empty (an end alone). Repeated rows and keys each keep a row.
+    ``pairs`` and ``rare`` are the tables of ``train``. Null texts are empty (an
+    end alone). Repeated rows and keys each keep a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
@@ -330,26 +394,32 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", t
             found = list(zip(*scorer.score(batch.column(batch.num_columns - 1).to_pylist())))
             if not found:
                 continue
-            types = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(found, types))],
-                names=[*names, "n_tokens", "score", "frequent_log", "n_frequent", "others", "times"])
+                names=[*names, "n_tokens", "logs", "frequent_log", "n_frequent", "others", "times"])
 
-    schema = f"{head}, n_tokens long, score double, frequent_log double, n_frequent long, others array<long>, times array<long>"
+    schema = f"{head}, n_tokens long, logs array<double>, frequent_log double, n_frequent long, others array<binary>, times array<long>"
     scored = docs.select(*names, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")  # from here on ``row`` is fixed
-    pairs = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("p")).select("row", F.col("p.others").alias("hash"), F.col("p.times").alias("times"))
-    joined = pairs.join(rare, "hash", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = joined.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"))
+    found = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("p")).select("row", F.col("p.others").alias("word"), F.col("p.times").alias("times"))
+    unseen = found.select("word").distinct().join(rare, "word", "left_anti").withColumn("n", F.lit(0).cast("long"))
+    codes = rare.unionByName(materialize(code_lengths(unseen, pairs, model.low, list(model.shares)), "unseen-coded"))
+    columns = [f"code_{k}" for k in range(len(model.shares))]
+    sums = found.join(codes, "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
+        *(F.sum(F.col("times") * F.col(c)).alias(c) for c in columns))
     whole = math.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
-    return scored.join(sums, "row", "left").select(
+    logs = F.array(*(F.col("logs")[k] + F.coalesce(c, F.lit(0.0)) + math.log10(share) for k, (c, share) in enumerate(zip(columns, model.shares.values()))))
+    top = F.array_max("by_class")
+    mixed = top + F.log10(F.aggregate("by_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
+    return scored.join(sums, "row", "left").withColumn("by_class", logs).select(
         *names, "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        (F.col("frequent_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), "score")
+        (F.col("frequent_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), mixed.alias("score"))
 
 
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id) mod 5 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 5) == 1)
-    model, rare = train(docs.filter(~F.col("held_out")), label="lang")
-    return score(docs, model, rare, keep=("held_out",)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    model, pairs, rare = train(docs.filter(~F.col("held_out")), label="lang")
+    return score(docs, model, pairs, rare, keep=("held_out",)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))

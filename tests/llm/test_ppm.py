@@ -114,3 +114,17 @@ def test_probabilities_sum_to_one():
         assert abs(sum(model.p(past, x) for x in range(256)) - 1) < 1e-9
     for w in ("the", "thet", "zz", "offt", "x" * 30):
         assert abs(trie.log_probability([w.encode()])[0] - model.log(w)) < 1e-9
+
+
+def test_pairs_seen_once_stay_in_a_large_corpus(spark, make_docs):
+    rows = [(i, "aa " * 15000) for i in range(130)] + [(i, "zyxwv once") for i in range(1000, 1010)]
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in tokens(t))
+    assert sum(n * len(Plain.symbols(w)) for w, n in counts.items()) > 1 << 22
+    trained = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 != 1}
+    rows = [(d, t.replace("once", f"zq{d}")) for d, t in rows]
+    counts = Counter(w for d, t in rows if d in trained for w in tokens(t))
+    model = Plain(counts, math.inf)
+    got = {r.doc_id: r.score for r in op2_ppm_scores(spark, make_docs(rows)).collect()}
+    for d, t in rows[130:]:
+        want = sum(model.log(w) for w in tokens(t))
+        assert abs(got[d] - want) < 1e-6 * abs(want), (d, got[d], want)
