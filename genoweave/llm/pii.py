@@ -9,7 +9,8 @@ same leftmost, non-overlapping matches as the plain forms.
 
 A detected span has kind, start, end (code points, end exclusive) and a score:
 the kind's prior, raised where one of the kind's context words stands within
-``CONTEXT_CHARS`` characters before it. Kinds marked ``always`` are kept at any
+``CONTEXT_CHARS`` characters before or after it, whatever lies between, or before
+the first of a list of matches it stands in. Kinds marked ``always`` are kept at any
 score, others from ``threshold`` on. Null and empty texts have no spans.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import free_name, table
 
 CONTEXT_CHARS = 40
+LIST_GAP = r"^[^A-Za-z0-9]{1,5}(?:(?i:and|or|und|y|et)[^A-Za-z0-9]{1,5})?$"  # what stands between the matches of a list
 BLOCK = 256  # matches folded at a time, so that appending stays near linear
 
 Span = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -78,25 +80,26 @@ class Kind:
     always: bool = True
     context: tuple[str, ...] = field(default=())
     bonus: float = 0.1
+    shortest: int = 2  # characters of the shortest match
 
 
 #: The base kinds, in the order that breaks ties.
 BASE = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-         hint="@", context=("mail", "contact", "correo", "courriel")),
+         hint="@", context=("mail", "contact", "correo", "courriel"), shortest=5),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _ip, hint=".", prior=0.7,
-         context=("ip", "host", "server", "address"), bonus=0.3),
+         context=("ip", "host", "server", "address"), bonus=0.3, shortest=7),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, prior=0.8,
          context=("card", "visa", "credit", "tarjeta", "carte", "karte"), bonus=0.2),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, hint="+", prior=0.8,
-         context=("phone", "tel", "call", "mobile", "fax"), bonus=0.2),
+         context=("phone", "tel", "call", "mobile", "fax"), bonus=0.2, shortest=4),
 )
 #: Kinds the method adds: one needs the mod-97 checksum, one needs context.
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-         mod97_valid, prior=0.9, always=False, context=("iban", "account", "konto", "compte", "cuenta")),
+         mod97_valid, prior=0.9, always=False, context=("iban", "account", "konto", "compte", "cuenta"), shortest=12),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, hint="-", prior=0.3, always=False,
-         context=("ssn", "social security", "national id"), bonus=0.6),
+         context=("ssn", "social security", "national id"), bonus=0.6, shortest=11),
 )
 
 
@@ -113,31 +116,40 @@ def _pairs(text: Column, kind: Kind) -> Column:
 
 def _spans(pairs: Column, kind: Kind, threshold: float) -> Column:
     """Confirmed spans, in order, from the pairs of a kind (null: none)."""
-    raw = "array<struct<start:int,hit:string,near:string>>"
+    raw = "array<struct<start:int,hit:string,near:string,place:int>>"
     hit = lambda x: F.coalesce(x["hit"], F.lit(""))
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
+    carried = ("at", "place", "tail", "near")  # end, place and text before of the last match, and its context
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
+        before = last(acc["tail"], last(x["gap"]))
+        near = F.when((acc["place"] > 0) & (F.length(x["gap"]) <= CONTEXT_CHARS) & x["gap"].rlike(LIST_GAP), F.concat(acc["near"], F.lit(" "), before)).otherwise(before)
         return F.struct(
-            (start + F.length(hit(x))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                start.alias("start"), hit(x).alias("hit"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("near"),
-            ))).alias("out"),
+            (start + F.length(hit(x))).alias("at"), (acc["place"] + 1).alias("place"), last(before, last(hit(x))).alias("tail"),
+            F.left(near, F.lit(CONTEXT_CHARS)).alias("near"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), hit(x).alias("hit"), near.alias("near"), acc["place"].alias("place")))).alias("out"),
         )
 
     def block(acc: Column, b: Column) -> Column:
         inner = F.aggregate(
-            F.slice(pairs, b * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), F.array().cast(raw).alias("out")), step)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+            F.slice(pairs, b * BLOCK + 1, BLOCK), F.struct(*(acc[c].alias(c) for c in carried), F.array().cast(raw).alias("out")), step)
+        return F.struct(*(inner[c].alias(c) for c in carried), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    def after(x: Column) -> Column:
+        """The characters after a match, from the gaps and matches that can lie in them."""
+        cut = lambda s: F.left(s, F.lit(CONTEXT_CHARS))
+        following = F.slice(pairs, x["place"] + 2, -(-CONTEXT_CHARS // kind.shortest))
+        return cut(F.array_join(F.transform(following, lambda p: F.concat(cut(p["gap"]), cut(hit(p)))), ""))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
     folded = F.aggregate(
-        blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{raw}>").alias("out")), block,
+        blocks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("place"), F.lit("").alias("tail"), F.lit("").alias("near"), F.array().cast(f"array<{raw}>").alias("out")), block,
         lambda acc: F.flatten(acc["out"]),
     )
     hits = F.filter(folded, lambda x: (F.length(x["hit"]) > 0) & (kind.valid(x["hit"]) if kind.valid else F.lit(True)))
     words = r"(?i)(?<![A-Za-z])(?:" + "|".join(kind.context) + r")"
-    score = lambda x: F.lit(kind.prior) + F.when(x["near"].rlike(words), F.lit(kind.bonus)).otherwise(F.lit(0.0))
+    score = lambda x: F.lit(kind.prior) + F.when(x["near"].rlike(words) | after(x).rlike(words), F.lit(kind.bonus)).otherwise(F.lit(0.0))
     spans = F.transform(hits, lambda x: F.struct(
         F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"),
         score(x).alias("score"),

@@ -79,3 +79,13 @@ def test_added_kinds_and_redaction(spark):
 
 def test_empty_table(spark, make_docs):
     assert op10_pattern_checksum_context(spark, make_docs([])).count() == 0
+
+
+def test_context_of_lists_and_after_the_span(spark):
+    ids = [f"{100 + i}-45-67{10 + i % 90}" for i in range(300)]
+    texts = ["SSN: 123-45-6789, 987-65-4321", "SSN: " + ", ".join(ids), "123-45-6789 (SSN)", "123-45-6789, 987-65-4321 and 111-22-3333 (ssn)",
+             "ssn 123-45-6789 " + "z" * 50 + " 987-65-4321", "123-45-6789 " + "z" * 50 + " ssn", "x 123-45-6789, 987-65-4321 y"]
+    got = redact(detect(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))).orderBy("k").collect()
+    assert [len(r.pii_national_id) for r in got] == [2, 300, 1, 3, 1, 0, 0]
+    assert got[0].text == "SSN: <NATIONAL_ID>, <NATIONAL_ID>" and got[2].text == "<NATIONAL_ID> (SSN)"
+    assert [texts[1][s.start : s.end] for s in got[1].pii_national_id] == ids
