@@ -24,7 +24,8 @@ from .components import components
 from .shingles import GAMMA, mix, shingle_set
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 36, 8  # a pair at similarity 0.85 shares no band with probability 1.1e-5
+SLOTS = 288  # of a signature
+MISS = 2e-5  # a pair at the threshold shares no band with at most this probability
 BLOCK_SHINGLES = 400_000
 CHUNK = 30_000  # shingles signed together
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,22 +85,32 @@ def set_identity(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, texts, at = batch.column(0), batch.column(1), 0
-        while at < len(texts):
-            sets, total, first = [], 0, at
-            while at < len(texts) and total < CHUNK:
-                sets.append(shingle_set(texts[at].as_py(), SHINGLE_WORDS))
-                total += sets[-1].size
-                at += 1
-            full = [s for s in sets if s.size]
-            bands = iter(band_hashes(superminhash(full, BANDS * ROWS), BANDS, ROWS)) if full else iter(())
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(first, at - first), pa.array([s.size for s in sets], pa.int64()),
-                 pa.array([set_identity(s) if s.size else None for s in sets], pa.binary()),
-                 pa.array([next(bands) if s.size else None for s in sets], pa.list_(pa.int64())), batch.column(2).slice(first, at - first)],
-                names=["doc_id", "n_shingles", "set_id", "bands", "text_hash"])
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows of a signature's slots: the most rows that keep to ``MISS`` at the threshold (36 of 8 at 85, 48 of 6 at 80)."""
+    fits = (r for r in range(1, SLOTS + 1) if SLOTS % r == 0 and (1 - (percent / 100) ** r) ** (SLOTS // r) <= MISS)
+    rows = max(fits, default=1)
+    return SLOTS // rows, rows
+
+
+def _sign(n_bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, at = batch.column(0), batch.column(1), 0
+            while at < len(texts):
+                sets, total, first = [], 0, at
+                while at < len(texts) and total < CHUNK:
+                    sets.append(shingle_set(texts[at].as_py(), SHINGLE_WORDS))
+                    total += sets[-1].size
+                    at += 1
+                full = [s for s in sets if s.size]
+                bands = iter(band_hashes(superminhash(full, n_bands * rows), n_bands, rows)) if full else iter(())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(first, at - first), pa.array([s.size for s in sets], pa.int64()),
+                     pa.array([set_identity(s) if s.size else None for s in sets], pa.binary()),
+                     pa.array([next(bands) if s.size else None for s in sets], pa.list_(pa.int64())), batch.column(2).slice(first, at - first)],
+                    names=["doc_id", "n_shingles", "set_id", "bands", "text_hash"])
+
+    return run
 
 
 def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -185,7 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
     signed = materialize(
-        docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, text_hash long"), "signed")
+        docs.mapInArrow(_sign(*bands_for(percent)), "doc_id long, n_shingles long, set_id binary, bands array<long>, text_hash long"), "signed")
     nodes = signed.filter(F.col("set_id").isNotNull())
     node = F.xxhash64("set_id")  # only proposes groups, so a clash costs work, not correctness
 

@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 from genoweave.llm.components import components
-from genoweave.llm.neardup import link_groups, op8_superminhash_neardup, superminhash
+from genoweave.llm.neardup import bands_for, link_groups, one_of_each, op8_superminhash_neardup, superminhash
 from genoweave.llm.shingles import Windows, shingle_set, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,3 +122,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7), (None, 4), (5000, 4999)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1200)}, 5000: 4999, 4999: 4999}
+
+
+def test_bands_follow_the_threshold(spark, make_docs):
+    assert bands_for(85) == (36, 8) and bands_for(80) == (48, 6)
+    rows = []
+    for i in range(60):  # 200 words have 196 shingles; a run of changed words takes that many and four more
+        words = [f"w{i}x{j}" for j in range(200)]
+        changed = 14 + i % 3  # similarity 178/214, 177/215, 176/216: 0.832, 0.823, 0.815
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(words[:50] + [f"v{i}y{j}" for j in range(changed)] + words[50 + changed :])))
+    rows += [(1000, " ".join(f"u{j}" for j in range(200))), (1001, " ".join([f"u{j}" for j in range(170)] + [f"t{j}" for j in range(30)]))]  # 166/226
+    sf = make_docs(rows)
+    got = one_of_each(spark.read.parquet(f"{sf}/documents.parquet"), percent=80)
+    assert sorted(r.doc_id for r in got.collect()) == [*range(0, 120, 2), 1000, 1001]
+    assert all(r.kept for r in op8_superminhash_neardup(spark, sf).collect())
