@@ -1,425 +1,555 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-A text is its words (A-Z in lower case) and an end. The model spells each word
-byte by byte: contexts are the bytes before, back to the word's start and at
-most ``DEPTH`` of them, and a trie holds how often each symbol followed each
-context. Of d symbols seen n times, one seen c times has the share (c - 1/2) / n
-and the escape d / 2n; it leads to the context one shorter, in which the symbols
-that the longer context has seen are excluded. As these sets nest, what
-exclusion leaves at the next level is two numbers per context, computed once.
-
-There is a trie per class of training texts (a label such as the language, at
-most ``CLASSES`` of them and one for the rest). A scored text's label is not
-looked at: its probability is the mixture of the classes' by their shares.
-
-Training counts every word of the training texts; the trie is gathered from the
-distinct words and their counts, and all its context-symbol pairs are kept, as a
-table. A symbol's probability needs the pairs of its own contexts only, and those
-of two bytes or more end with the same two bytes. So pairs and the symbols of
-distinct words are dealt to shards by these two bytes; a task holds the pairs of
-one shard at a time. Pairs of shorter contexts (at most 256 * 257 a class) go to
-all tasks. Each distinct word is scored once, under each class, and its code
-lengths and count are joined to its occurrences; those of frequent words (share of
-1 / ``WORD_SHARE`` of all words, so a bounded number) are broadcast instead.
+A text is its words (A-Z in lower case) with one space between them and an end.
+The model predicts it byte by byte: contexts are the ``DEPTH`` bytes before,
+across words, from ``DEPTH`` start bytes on, and a trie holds how often each
+symbol followed each context and each of its endings. Of d symbols seen n times
+after a context, one seen c times has the share (c - 1/2) / n and the escape
+d / 2n; it leads to the context one shorter, in which the symbols that the
+longer context has seen are excluded. As these sets nest, what exclusion leaves
+at the next level is two numbers per context, computed once.
+
+All pairs of context and symbol are kept and none is broadcast but those of two
+bytes and less (at most 256 ** 3, by the alphabet). Pairs and words travel as
+sorted packed arrays, one row per task and shard; a shard holds all contexts that
+end with certain three bytes, so orders 3 to ``DEPTH`` are complete in it.
+
+Scoring deals texts into chunks (what one task reads). A chunk's distinct grams
+and words are its questions, dealt to the model's shards; a shard answers a gram
+by its log probability and a word by its count; the answers meet the chunk's
+texts again, where each is weighted by how often a document holds it. Cost and
+memory of a task depend on the chunk and the shard, not on the corpus.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, materialize, table
-from .shingles import words_of
+from .common import crc_mod, materialize, shuffle_partitions, table
+from .shingles import GAMMA, _BYTES, _power_tables, mix
 
 DEPTH = 6
-CLASSES = 8
-SHARE = math.inf  # pairs below 1 / SHARE of all symbols are left out: none
-WORD_SHARE = 1 << 21
-FLUSH = 300_000  # distinct words counted in a task before they are passed on
-CACHE_WORDS = 400_000
+LOW = 2  # orders up to this one are the same in every shard
+SLICE_BYTES = 1 << 22  # of text worked on at a time
+CHUNK_KEYS = 1 << 23  # distinct grams (before merging slices) after which a chunk ends
+MODEL_KEYS = 1 << 22  # pairs of a shard held before they are summed
 
-#: Bytes that no word holds, standing for a word's start, a word's end and the text's end.
+#: Bytes that no word holds, standing for a text's start, a word's end and the text's end.
 START, WORD_END, TEXT_END = 0x0D, 0x20, 0x0A
 SYMBOLS = 256
-NEAR = 2  # bytes that contexts of a shard end with
+GRAM, WORD = 0, 1  # kinds of keys
+LEAD = bytes([START]) * DEPTH
 
 
-def word_hash(word: bytes) -> int:
-    """Spark's xxhash64 of the word."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+# --- packed arrays ---
 
+def pack(values: np.ndarray, ordered: bool = True) -> bytes:
+    """Unsigned 64-bit values, or the differences of ordered ones, as compressed byte planes."""
+    values = values.astype(np.uint64)
+    planes = (np.diff(values, prepend=np.uint64(0)) if ordered else values).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
-def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words, the length of the history of each (with the start), and the bytes with starts and ends."""
-    raw = np.frombuffer(b"".join([b"\r" + w + (b"" if w == b"\n" else b" ") for w in words]), np.uint8)
-    starts = np.flatnonzero(raw == START)
-    size = np.diff(np.append(starts, raw.size))
-    history = np.arange(raw.size) - np.repeat(starts, size)
-    return np.flatnonzero(history > 0), history, raw
 
+def unpack(raw: bytes, ordered: bool = True) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if ordered else values
 
-def gram_keys(raw: np.ndarray, places: np.ndarray, order: np.ndarray | int) -> np.ndarray:
-    """Keys of the symbols at ``places`` with the ``order`` bytes before each: the order, then the bytes."""
-    order = np.broadcast_to(order, places.shape)
-    key = np.zeros(places.size, np.uint64)
-    for back in range(DEPTH, -1, -1):
-        inside = back <= order
-        key[inside] = key[inside] << np.uint64(8) | raw[places[inside] - back].astype(np.uint64)
-    return key | order.astype(np.uint64) << np.uint64(56)
 
-
-ONE, BYTES, HEAD = np.uint64(1), np.uint64((1 << 56) - 1), np.uint64(0xFF << 56)
-STEP = np.uint64(1 << 56)  # one order
-
-
-def of_class(key: np.ndarray, c: int) -> np.ndarray:
-    return key | np.uint64(c << 59)
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if keys.size else counts
 
 
-def orders(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(56) & np.uint64(7)).astype(np.int64)
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an ordered array and where each begins."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if ordered.size else np.zeros(0, np.int64)
+    return ordered[first], first
 
 
-def shorter(key: np.ndarray, symbol: int = 1) -> np.ndarray:
-    """Keys (of contexts with ``symbol`` 0) with the context's first byte left off (orders above 0)."""
-    keep = (ONE << ((orders(key) - 1 + symbol) * 8).astype(np.uint64)) - ONE
-    return (key & BYTES & keep | key & HEAD) - STEP
+# --- texts as grams and words ---
 
+def plain(text: str | None) -> bytes:
+    """The words of a text, A-Z in lower case, joined by one space."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
-def context_of(key: np.ndarray) -> np.ndarray:
-    """The context's own key (its class and order, and its bytes only)."""
-    return (key & BYTES) >> np.uint64(8) | key & HEAD
 
+def pieces(texts: list[bytes], most: int = 256) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Slices of at most ``most`` pieces and about ``SLICE_BYTES``: the pieces with their lead, and whose they are.
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if keys.size else counts
+    A piece is a text with its end, or a part of a long one, cut after a space;
+    its lead are the ``DEPTH`` bytes before it.
+    """
+    out, owner, size = [], [], 0
+    for i, t in enumerate(texts):
+        whole, at = b"".join((LEAD, t, b"\n")), DEPTH
+        while at < len(whole):
+            cut = whole.find(b" ", at + SLICE_BYTES) + 1 if len(whole) - at > 2 * SLICE_BYTES else 0
+            out.append(whole[at - DEPTH : cut or len(whole)])
+            owner.append(i)
+            size += len(out[-1])
+            at = cut or len(whole)
+            if size >= SLICE_BYTES or len(out) == most:
+                yield out, owner
+                out, owner, size = [], [], 0
+    if out:
+        yield out, owner
+
+
+class Slice:
+    """The symbols of some pieces: what gram each makes, and the words that end in them."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.raw = np.frombuffer(b"".join(parts), np.uint8)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def grams(self, with_piece: bool = False) -> np.ndarray:
+        """For each symbol the context, nearest byte first, and the symbol; 56 bits, and with ``with_piece`` 8 for the piece."""
+        n = self.raw.size - DEPTH
+        key = np.zeros(n, np.uint64)
+        for back in (*range(1, DEPTH + 1), 0):
+            key <<= np.uint64(8)
+            key |= self.raw[DEPTH - back : DEPTH - back + n]
+        if with_piece:
+            key <<= np.uint64(8)
+            key |= np.repeat(np.arange(self.sizes.size, dtype=np.uint64), self.sizes)[DEPTH:]
+        inside = np.ones(n, bool)
+        for lead in range(DEPTH):  # the leads of all pieces but the first
+            inside[self.begins[1:] - DEPTH + lead] = False
+        return key[inside]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of all words in order, and the piece of each."""
+        last = np.flatnonzero((self.raw == WORD_END) | (self.raw == TEXT_END))
+        piece = np.searchsorted(self.begins, last, side="right") - 1
+        own = last >= self.begins[piece] + DEPTH  # not a lead's
+        last, piece = last[own], piece[own]
+        begin = np.empty_like(last)
+        begin[1:] = last[:-1] + 1
+        fresh = np.append(True, piece[1:] != piece[:-1])
+        begin[fresh] = self.begins[piece[fresh]] + DEPTH
+        power, inverse = _power_tables(self.raw.size + 1)
+        prefix = np.zeros(self.raw.size + 1, np.uint64)
+        np.cumsum(_BYTES[self.raw] * power[: self.raw.size], out=prefix[1:])
+        spans = (prefix[last] - prefix[begin]) * inverse[begin]
+        return mix(spans + (last - begin).astype(np.uint64) * GAMMA), piece
+
+    def tokens(self) -> np.ndarray:
+        """Of each piece: its words, and one for the text's end (an empty text has the end only)."""
+        ends = np.add.reduceat((self.raw == WORD_END) | (self.raw == TEXT_END), self.begins, dtype=np.int64)
+        for lead in range(DEPTH):
+            ends -= self.raw[self.begins + lead] == WORD_END
+        return ends + (self.raw[self.begins + self.sizes - 1] == TEXT_END) - self._empty()
+
+    def _empty(self) -> np.ndarray:
+        return (self.sizes == DEPTH + 1) & (self.raw[self.begins + self.sizes - 1] == TEXT_END)
+
+
+END_WORD = mix(np.zeros(1, np.uint64))[0]  # the hash of no bytes: the end of a text
+
+
+def words_and_ends(some: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens and their pieces: words, and one end per text."""
+    words, piece = some.words()
+    ended = np.flatnonzero((some.raw[some.begins + some.sizes - 1] == TEXT_END) & ~some._empty())
+    return np.append(words, np.full(ended.size, END_WORD)), np.append(piece, ended)
+
+
+def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """The shard of each key: grams by the three bytes nearest to the symbol, words by themselves."""
+    near = keys >> np.uint64(32) if kind == GRAM else keys
+    return (mix(near + GAMMA) % np.uint64(shards)).astype(np.int32)
+
+
+class Counted:
+    """Distinct grams and words of a chunk of texts, with their counts."""
+
+    def __init__(self) -> None:
+        self.grams: list[np.ndarray] = []
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, some: Slice) -> None:
+        keys = some.grams()
+        keys.sort()
+        distinct, first = runs(keys)
+        counts = np.diff(np.append(first, keys.size))
+        times = (counts - 1) // 255  # a count is the low 8 bits; what is more comes as further entries
+        self.grams.append(distinct << np.uint64(8) | (counts - 255 * times).astype(np.uint64))
+        if times.any():
+            self.grams.append(np.repeat(distinct << np.uint64(8) | np.uint64(255), times))
+        self.held += distinct.size
+        words = np.sort(words_and_ends(some)[0])
+        distinct, first = runs(words)
+        self.words.append((distinct, np.diff(np.append(first, words.size))))
+
+    def take(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows (kind, ordered keys, counts); forgets them."""
+        if not self.grams:
+            return []
+        keys = np.sort(np.concatenate(self.grams))
+        distinct, first = runs(keys >> np.uint64(8))
+        counts = np.add.reduceat((keys & np.uint64(255)).astype(np.int64), first)
+        words = summed(np.concatenate([w for w, _ in self.words]), np.concatenate([n for _, n in self.words]))
+        self.__init__()
+        return [(GRAM, distinct, counts), (WORD, *words)]
+
+
+def _by_shard(keys: np.ndarray, kind: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places of its keys, in order."""
+    shard = shard_of(keys, kind, shards)
+    order = np.argsort(shard, kind="stable")
+    names, first = runs(shard[order])
+    for s, a, b in zip(names.tolist(), first, np.append(first[1:], keys.size)):
+        yield s, order[a:b]
+
+
+# --- the trie ---
+
+class Level:
+    """The pairs of one order, and per context: total, symbols, and what exclusion of its symbols leaves one order below."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, below: "Level | None") -> None:
+        self.keys, self.counts = keys, counts
+        self.contexts, first = runs(keys >> np.uint64(8))
+        self.total = np.add.reduceat(counts, first) if keys.size else counts
+        self.symbols = np.diff(np.append(first, keys.size))
+        if below is not None and keys.size:
+            shorter = (keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255))
+            taken = np.add.reduceat(below.counts[np.searchsorted(below.keys, shorter)], first)
+            parent = np.searchsorted(below.contexts, self.contexts >> np.uint64(8))
+            self.rest_total, self.rest_symbols = below.total[parent] - taken, below.symbols[parent] - self.symbols
+        else:
+            self.rest_total = self.rest_symbols = np.zeros(self.contexts.size, np.int64)
+
+    def find(self, table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(table_, keys), max(0, table_.size - 1))
+        return at, (table_[at] == keys) if table_.size else np.zeros(keys.size, bool)
 
 
-def count_grams(words: list[bytes], counts: np.ndarray, c: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all context-symbol pairs, of every order up to DEPTH, in words with multiplicities."""
-    places, history, raw = spell(words)
-    starts = np.flatnonzero(raw == START)
-    weight = np.repeat(counts, np.diff(np.append(starts, raw.size)))[places]
-    keys, n = summed(of_class(gram_keys(raw, places, np.minimum(history[places], DEPTH)), c), weight)
-    all_keys, all_n = [keys], [n]
-    while True:
-        longer = orders(keys) > 0
-        if not longer.any():
-            break
-        keys, n = summed(shorter(keys[longer]), n[longer])
-        all_keys.append(keys)
-        all_n.append(n)
-    return summed(np.concatenate(all_keys), np.concatenate(all_n))
+def shorten(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the order one below, summed."""
+    return summed((keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255)), counts)
 
 
-@dataclass
 class Trie:
-    """Pairs sorted by key, and per context: total, symbols, and what exclusion of its symbols leaves one order below."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    total: np.ndarray
-    symbols: np.ndarray
-    rest_total: np.ndarray
-    rest_symbols: np.ndarray
-
-    @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray) -> "Trie":
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.uint64), counts[order].astype(np.int64)
-        context = context_of(keys)
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if keys.size else np.zeros(0, np.int64)
-        if not keys.size:
-            z = np.zeros(0, np.int64)
-            return cls(keys, counts, keys, z, z, z, z)
-        contexts, total, symbols = context[first], np.add.reduceat(counts, first), np.diff(np.append(first, keys.size))
-        below = np.zeros(keys.size, np.int64)  # count of the pair with the context one shorter
-        deep = orders(keys) > 0
-        below[deep] = counts[np.searchsorted(keys, shorter(keys[deep]))]
-        taken = np.add.reduceat(below, first)
-        rest_total, rest_symbols = np.zeros_like(total), np.zeros_like(total)
-        deep = orders(contexts) > 0
-        parent = np.searchsorted(contexts, shorter(contexts[deep], 0))
-        rest_total[deep], rest_symbols[deep] = total[parent] - taken[deep], symbols[parent] - symbols[deep]
-        return cls(keys, counts, contexts, total, symbols, rest_total, rest_symbols)
-
-    def _find(self, table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table_, keys), max(0, table_.size - 1))
-        return at, (table_[at] == keys) if table_.size else np.zeros(keys.size, bool)
+    """Levels of orders 0 to DEPTH; ``low`` are the pairs of order ``LOW`` of the whole model, ``pairs`` a shard's of order DEPTH."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray]) -> None:
+        some = [low]
+        while len(some) <= LOW:
+            some.append(shorten(*some[-1]))
+        self.levels: list[Level] = []
+        for keys, counts in reversed(some):
+            self.levels.append(Level(keys, counts, self.levels[-1] if self.levels else None))
+
+    def with_shard(self, pairs: tuple[np.ndarray, np.ndarray]) -> "Trie":
+        some = [pairs]
+        while len(some) < DEPTH - LOW:
+            some.append(shorten(*some[-1]))
+        whole = object.__new__(Trie)
+        whole.levels = list(self.levels)
+        for keys, counts in reversed(some):
+            whole.levels.append(Level(keys, counts, whole.levels[-1]))
+        return whole
 
     def log_of(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of each last symbol's probability after the bytes before it (keys of the longest contexts)."""
-        keys, logs = grams.copy(), np.zeros(grams.size)
-        excluded = np.full(grams.size, -1)  # context whose symbols are excluded
-        waiting = np.arange(grams.size)
+        """log10 of each gram's symbol's probability after its context."""
+        logs, waiting = np.zeros(grams.size), np.arange(grams.size)
+        total, kinds = np.zeros(grams.size, np.int64), np.full(grams.size, -1, np.int64)  # after exclusion; -1: nothing is excluded
+        symbol = grams & np.uint64(255)
         for order in range(DEPTH, -1, -1):
-            now = waiting[orders(keys[waiting]) == order]
-            if not now.size:
-                continue
-            ctx, known = self._find(self.contexts, context_of(keys[now]))
-            here, ctx = now[known], ctx[known]
-            above = excluded[here]
-            total = np.where(above >= 0, self.rest_total[above], self.total[ctx])
-            kinds = np.where(above >= 0, self.rest_symbols[above], self.symbols[ctx])
-            at, seen = self._find(self.keys, keys[here])
-            logs[here[seen]] += np.log10((self.counts[at[seen]] - 0.5) / total[seen])
-            out = ~seen & (kinds > 0)
-            logs[here[out]] += np.log10(kinds[out] / (2 * total[out]))
-            excluded[here[~seen]] = ctx[~seen]
-            resolved = np.zeros(grams.size, bool)
-            resolved[here[seen]] = True
-            if order:
-                left = now[~resolved[now]]
-                keys[left] = shorter(keys[left])
-            waiting = waiting[~resolved[waiting]]
-        at, there = self._find(self.contexts, context_of(keys[waiting]))
-        root = np.where(there, self.symbols[at] if self.symbols.size else 0, 0)
-        logs[waiting] -= np.log10(np.maximum(1, SYMBOLS - root))
+            level = self.levels[order]
+            context = grams[waiting] >> np.uint64(8 * (DEPTH - order + 1))
+            ctx, known = level.find(level.contexts, context)
+            here, ctx = waiting[known], ctx[known]
+            fresh = kinds[here] < 0
+            all_, some = np.where(fresh, level.total[ctx], total[here]), np.where(fresh, level.symbols[ctx], kinds[here])
+            at, seen = level.find(level.keys, context[known] << np.uint64(8) | symbol[here])
+            logs[here[seen]] += np.log10((level.counts[at[seen]] - 0.5) / all_[seen])
+            out = ~seen & (some > 0)
+            logs[here[out]] += np.log10(some[out] / (2 * all_[out]))
+            total[here], kinds[here] = level.rest_total[ctx], level.rest_symbols[ctx]
+            done = np.zeros(waiting.size, bool)
+            done[np.flatnonzero(known)[seen]] = True
+            waiting = waiting[~done]
+        root = self.levels[0].symbols[0] if self.levels[0].keys.size else 0
+        logs[waiting] -= math.log10(max(1, SYMBOLS - root))
         return logs
 
-    def log_probability(self, words: list[bytes], c: int = 0) -> np.ndarray:
-        """log10 of each word's probability in class ``c`` (b'\\n' is the text's end)."""
-        places, history, raw = spell(words)
-        logs = self.log_of(of_class(gram_keys(raw, places, np.minimum(history[places], DEPTH)), c))
-        starts = np.flatnonzero(raw == START)
-        by_place = np.zeros(raw.size)
-        by_place[places] = logs
-        return np.add.reduceat(by_place, starts) if starts.size else np.zeros(0)
+
+# --- training ---
+
+@dataclass
+class Model:
+    shards: int
+    rows: DataFrame  # (shard, kind, keys, counts, n_keys, n_total): one row per shard and kind
+    low: tuple[np.ndarray, np.ndarray]  # pairs of order LOW
+    train_tokens: int
+    vocabulary: int
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield part, [plain(t.as_py()) for t in part.column(part.num_columns - 1)]
+
+
+def _slices(parts: Iterator[list[bytes]]) -> Iterator[Slice]:
+    """Slices of texts given in portions; small portions share a slice."""
+    held: list[bytes] = []
+    size = 0
+    for texts in parts:
+        held += texts
+        size += sum(map(len, texts))
+        if size > SLICE_BYTES:
+            for some, _ in pieces(held, len(held)):
+                yield Slice(some)
+            held, size = [], 0
+    for some, _ in pieces(held, len(held)):
+        yield Slice(some)
 
 
-def count_words(docs: DataFrame, text: str, group: str) -> DataFrame:
-    """Rows (c, word, n) over all texts by class ``group``, lower-cased; '\\n' stands for the end of each text."""
+def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
+    """The model of all rows of ``docs``; null texts count as empty, an empty table gives a model that knows nothing."""
+    shards = shards or 2 * shuffle_partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter] = {}
+        found = Counted()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for c, counter in found.items():
+            for kind, keys, counts in found.take():
+                rows = [(s, pack(keys[at]), pack(counts[at], False)) for s, at in _by_shard(keys, kind, shards)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(counter), c), pa.int32()), pa.array(list(counter.keys()), pa.binary()), pa.array(list(counter.values()), pa.int64())],
-                    names=["c", "word", "n"])
-            found.clear()
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array(np.full(len(rows), kind), pa.int32()),
+                     *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["shard", "kind", "keys", "counts"])
+
+        for some in _slices(t for _, t in _texts(batches)):
+            found.add(some)
+            if found.held > CHUNK_KEYS:
+                yield from out()
+        yield from out()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, size = None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if current is not None:
+                keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([current[0]], pa.int32()), pa.array([current[1]], pa.int32()), pa.array([pack(keys)], pa.binary()), pa.array([pack(counts, False)], pa.binary()),
+                     pa.array([keys.size], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
+                    names=["shard", "kind", "keys", "counts", "n_keys", "n_total"])
 
         for batch in batches:
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counter = found.setdefault(c, Counter())
-                counter.update(words_of(t.as_py(), True))
-                counter[b"\n"] += 1
-                if len(counter) > FLUSH:
+            for shard, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, kind) != current:
                     yield from out()
+                    current, held, size = (shard, kind), [], 0
+                held.append((unpack(keys), unpack(counts, False).astype(np.int64)))
+                size += held[-1][0].size
+                if size > MODEL_KEYS and len(held) > 1:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = 0
         yield from out()
 
-    parts = docs.select(group, text).mapInArrow(count, "c int, word binary, n long")
-    return parts.groupBy("c", "word").agg(F.sum("n").alias("n"))
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs = unpack(keys), unpack(counts, False).astype(np.int64)
+                for _ in range(DEPTH - LOW):
+                    pairs = shorten(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1])], names=["gram", "n"])
 
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "shard int, kind int, keys binary, counts binary")
+    dealt = parts.repartition("shard").sortWithinPartitions("shard", "kind")
+    rows = materialize(dealt.mapInArrow(gather, "shard int, kind int, keys binary, counts binary, n_keys long, n_total long"), "ppm-model")
+    words = rows.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    low = rows.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(shortened, "gram long, n long")
+    low = low.groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()  # at most 256 ** 3 pairs
+    return Model(shards, rows, (low["gram"].to_numpy().astype(np.uint64), low["n"].to_numpy()), words[0], words[1])
 
-@dataclass
-class Model:
-    low: tuple[np.ndarray, np.ndarray]  # keys and counts of the pairs with contexts shorter than NEAR
-    train_tokens: int
-    vocabulary: int
-    hashes: np.ndarray  # of the frequent words, sorted
-    counts: np.ndarray
-    codes: np.ndarray  # log10 probabilities of the frequent words, a column per class
-    shares: dict[int, float]  # of the classes
 
+# --- scoring ---
 
-def code_lengths(words: DataFrame, pairs: DataFrame, low: tuple[np.ndarray, np.ndarray], classes: list[int]) -> DataFrame:
-    """Rows (word, n, code_0, code_1, ...): log10 of each word's probability under each class, for distinct ``words`` (word, n)."""
-    shared = words.sparkSession.sparkContext.broadcast(low)
+def _answer(model_low: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = current = trie = None
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def values(kind: int, keys: np.ndarray) -> np.ndarray:
+            if kind == GRAM:
+                return trie.log_of(keys)
+            at = np.minimum(np.searchsorted(known[0], keys), max(0, known[0].size - 1))
+            there = (known[0][at] == keys) if known[0].size else np.zeros(keys.size, bool)
+            return np.log10(np.where(there, known[1][at] if known[0].size else 0, 0) + 0.5)
 
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            places, history, raw = spell(batch.column(0).to_pylist())
-            order = np.minimum(history[places], DEPTH)
-            keys = gram_keys(raw, places, order)
-            word = (np.cumsum(raw == START) - 1)[places]
-            shard = (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int32)
-            first = order < NEAR  # the pairs that every task has suffice for these, so they are dealt evenly
-            shard[first] = START | 256 * (256 + word[first] % 251)
-            n = np.where(first, batch.column(1).to_numpy()[word], 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), batch.column(0).take(pa.array(word)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["shard", "word", "gram", "n"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low_keys, low_counts = shared.value
-        last_byte, ordered = low_keys >> np.uint64(8) & np.uint64(0xFF), orders(low_keys)
-        current, trie, held = None, None, []
+            shards, kinds, chunks, keys, counts = (c.to_pylist() for c in batch.columns)
+            at = 0
+            while at < len(shards):
+                mine, first = (shards[at], kinds[at]), at
+                while at < len(shards) and (shards[at], kinds[at]) == mine:
+                    at += 1
+                if mine != current:
+                    current, known, trie = mine, nothing, None
+                if chunks[first] is None:  # the model's own row comes first
+                    known = unpack(keys[first]), unpack(counts[first], False).astype(np.int64)
+                    first += 1
+                if trie is None and first < at and mine[1] == GRAM:
+                    base = base or Trie(model_low.value)
+                    trie = base.with_shard(known)
+                while first < at:  # many chunks ask the same, so some of them are answered together
+                    asked, end, size = [], first, 0
+                    while end < at and size < MODEL_KEYS // 4:
+                        asked.append(unpack(keys[end]))
+                        size += asked[-1].size
+                        end += 1
+                    some, back = np.unique(np.concatenate(asked), return_inverse=True)
+                    found = values(mine[1], some).astype("<f4")[back]
+                    cuts = np.cumsum([a.size for a in asked])[:-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(chunks[first:end], pa.int64()), pa.array(np.full(end - first, mine[1]), pa.int32()), pa.array(keys[first:end], pa.binary()),
+                         pa.array([zstandard.compress(v.tobytes(), 1) for v in np.split(found, cuts)], pa.binary())], names=["chunk", "kind", "keys", "payload"])
+                    first = end
+
+    return run
+
+
+def _ask(shards: int):
+    """Rows of a task's chunks: questions (kind and shard) and, with kind -1, the texts and other columns as Arrow streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, chunk, kept = Counted(), TaskContext.get().partitionId() << 24, 0
+        names, kinds = ["chunk", "kind", "shard", "keys", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
+
+        def questions() -> Iterator[pa.RecordBatch]:
+            for kind, keys, _ in found.take():
+                yield out([(chunk, kind, s, pack(keys[at]), None) for s, at in _by_shard(keys, kind, shards)])
+
+        held: list[bytes] = []
+        size = 0
+
+        def count() -> None:
+            for some, _ in pieces(held, len(held)):
+                found.add(Slice(some))
+
+        for part, texts in _texts(batches):
+            sink = pa.BufferOutputStream()
+            whole = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.large_binary())], names=[str(i) for i in range(part.num_columns)])
+            with pa.ipc.new_stream(sink, whole.schema) as stream:
+                stream.write_batch(whole)
+            yield out([(chunk, -1, kept, None, zstandard.compress(sink.getvalue(), 1))])
+            kept += 1
+            held += texts
+            size += sum(map(len, texts))
+            if size > SLICE_BYTES:
+                count()
+                held, size = [], 0
+                if found.held > CHUNK_KEYS:
+                    yield from questions()
+                    chunk, kept = chunk + 1, 0
+        count()
+        yield from questions()
+
+    return run
+
+
+def _finish(names: list[str]):
+    """Rows of a chunk's documents from its answers (kinds 0 and 1) and its texts, which come last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, answers = None, {}
+
+        def ready(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = answers.get(kind)
+            if isinstance(rows, list):
+                keys, values = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
+                order = np.argsort(keys, kind="stable")
+                answers[kind] = keys[order], values[order]
+            return answers[kind]
+
+        def score(texts: list[bytes]) -> list[np.ndarray]:
+            n = len(texts)
+            tokens, known, base, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            for parts, owner in pieces(texts):
+                some, owner = Slice(parts), np.array(owner)
+                k = owner.size
+                np.add.at(tokens, owner, some.tokens())
+                keys = np.sort(some.grams(True))
+                distinct, first = runs(keys >> np.uint64(8))
+                values = np.repeat(ready(GRAM)[1][np.searchsorted(ready(GRAM)[0], distinct)].astype(np.float64), np.diff(np.append(first, keys.size)))
+                np.add.at(logs, owner, np.bincount((keys & np.uint64(255)).astype(np.int64), values, k))
+                words, piece = words_and_ends(some)
+                values = ready(WORD)[1][np.searchsorted(ready(WORD)[0], words)].astype(np.float64)
+                np.add.at(base, owner, np.bincount(piece, values, k))
+                np.add.at(known, owner, np.bincount(piece, values > 0, k).astype(np.int64))  # log10(c + 0.5) is above 0 from c = 1 on
+            return [tokens, known, base, logs]
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            shards, grams, counts = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
-            trained = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(trained.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if shards[a] != current:
-                    current, trie, held = shards[a], None, []
-                if trained[a]:
-                    held.append((grams[a:b], counts[a:b]))
+            for chunk, kind, keys, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != current:
+                    current, answers = chunk, {}
+                raw = zstandard.decompress(payload)
+                if kind >= 0:
+                    answers.setdefault(kind, []).append((unpack(keys), np.frombuffer(raw, "<f4")))
                     continue
-                if trie is None:
-                    short = (ordered == 0) | (last_byte == np.uint64(int(current) & 0xFF))
-                    trie = Trie.build(np.concatenate([low_keys[short], *(k for k, _ in held)]), np.concatenate([low_counts[short], *(n for _, n in held)]))
-                    held = []
-                some, back = np.unique(grams[a:b], return_inverse=True)
-                found = [pa.array(trie.log_of(of_class(some, c))[back].astype(np.float32)) for c in classes]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), *found], names=names)
-
-    names = ["word", "n", *(f"code_{k}" for k in range(len(classes)))]
-    asked = words.select("word", "n").mapInArrow(symbols, "shard int, word binary, gram long, n long")
-    known = pairs.filter(F.col("order") >= NEAR).select(
-        F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("shard"), F.lit(None).cast("binary").alias("word"), "gram", "n")
-    dealt = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("word").isNotNull())
-    logs = dealt.mapInArrow(solve, "word binary, n long, " + ", ".join(f"{c} float" for c in names[2:]))
-    return logs.groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
-
-
-def train(docs: DataFrame, text: str = "text", label: str | None = None) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all rows of ``docs``, the table of its pairs, and (word, n, code_0, ...) of all words less frequent than it holds.
-
-    Null texts count as empty; rows with a null or infrequent label are the
-    class of the rest. An empty table gives a model that knows nothing.
-    """
-    names: list = []
-    if label is not None:
-        sizes = docs.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows_of_label"))
-        names = [r[0] for r in sizes.orderBy(F.desc("rows_of_label"), label).limit(CLASSES).collect()]
-    group = F.lit(0)
-    for i, name in enumerate(names, 1):
-        group = F.when(F.col(label) == F.lit(name), i).otherwise(group)
-    counted = count_words(docs.select(F.col(text).alias("text"), F.coalesce(group, F.lit(0)).alias("c")), "text", "c")
-    words = materialize(counted, "word-counts")
-    end = F.col("word") == F.lit(b"\n")
-    n, letters = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.octet_length("word") + F.when(end, 0).otherwise(1))), F.lit(0))).first()
-    texts = {r[0]: r[1] for r in words.filter(end).select("c", "n").collect()}
-    shares = {c: x / sum(texts.values()) for c, x in texts.items()} or {0: 1.0}
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group, some, counts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            for c in np.unique(group).tolist():
-                here = np.flatnonzero(group == c)
-                keys, sums = count_grams([some[i] for i in here], counts[here], c)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums, pa.int64())], names=["gram", "n"])
-
-    pairs = words.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    if math.isfinite(SHARE):
-        pairs = pairs.filter(F.col("n") * SHARE >= letters)
-    pairs = materialize(pairs.withColumn("order", F.shiftright("gram", 56).bitwiseAND(F.lit(7))), "pairs")
-    short = pairs.filter(F.col("order") < NEAR).toArrow()  # at most 256 * 257 pairs of each class
-    low = short["gram"].to_numpy().view(np.uint64), short["n"].to_numpy()
-    coded = materialize(code_lengths(words.groupBy("word").agg(F.sum("n").alias("n")), pairs, low, list(shares)), "coded")
-    frequent = F.col("n") * WORD_SHARE >= n
-    columns = [f"code_{k}" for k in range(len(shares))]
-    top = coded.filter(frequent).select(F.xxhash64("word").alias("hash"), "n", *columns).toArrow()  # at most WORD_SHARE words
-    order = np.argsort(top["hash"].to_numpy())
-    codes = np.stack([top[c].to_numpy()[order] for c in columns], 1)
-    return Model(low, n, coded.count(), top["hash"].to_numpy()[order], top["n"].to_numpy()[order], codes, shares), pairs, coded.filter(~frequent)
-
-
-class Scorer:
-    """Sums over the frequent words of texts under a model, and the other words; keeps what it looked up of recent words."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.log = np.zeros((1024, len(self.model.shares)))
-        self.count = np.zeros(1024, np.int64)  # -1: not among the frequent
-
-    def _learn(self, words: list[bytes]) -> None:
-        first, need = len(self.ids), len(self.ids) + len(words)
-        if need > len(self.log):
-            size = max(need, 2 * len(self.log))
-            self.log, self.count = np.resize(self.log, (size, self.log.shape[1])), np.resize(self.count, size)
-        hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
-        known = self.model.hashes
-        at = np.minimum(np.searchsorted(known, hashes), max(0, known.size - 1))
-        there = (known[at] == hashes) if known.size else np.zeros(len(words), bool)
-        self.count[first:need] = np.where(there, self.model.counts[at] if known.size else 0, -1)
-        self.log[first:need] = np.where(there[:, None], self.model.codes[at] if known.size else 0.0, 0.0)
-        self.ids |= zip(words, range(first, need))
-        self.words += words
-
-    def score(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, float, int, list[bytes], np.ndarray]]:
-        """Per text: tokens; log10 probability by class, sum of log10(c + 0.5) and tokens over frequent words; the others and their counts."""
-        if len(self.ids) > CACHE_WORDS:
-            self._clear()
-        for at in range(0, len(texts), 32):
-            some = [words_of(t, True) for t in texts[at : at + 32]]
-            for w in some:
-                w.append(b"\n")
-            if new := list(set().union(*some).difference(self.ids)):
-                self._learn(new)
-            for w in some:
-                ids = np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w))
-                c = self.count[ids]
-                frequent = c > 0
-                others, times = np.unique(ids[~frequent], return_counts=True)
-                yield len(w), self.log[ids].sum(0), float(np.log10(c[frequent] + 0.5).sum()), int(frequent.sum()), [self.words[i] for i in others], times
-
-
-def score(docs: DataFrame, model: Model, pairs: DataFrame, rare: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, *keep, n_tokens, n_known, base_score, score), one per row of ``docs``.
-
-    ``pairs`` and ``rare`` are the tables of ``train``. Null texts are empty (an
-    end alone). Repeated rows and keys each keep a row.
+                with pa.ipc.open_stream(raw) as stream:
+                    for part in stream:
+                        found = score(part.column(part.num_columns - 1).to_pylist())
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found)], names=[*names, "n_tokens", "n_known", "known_log", "score"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, *keep, n_tokens, n_known, train_tokens, base_score, score), one per row of ``docs``.
+
+    Null texts are empty (an end alone). Repeated rows and keys each keep a
+    row, equal texts get equal scores. ``key`` and ``keep`` may have any names
+    but those of the results; columns named otherwise are not read. An empty
+    table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
     names = [key, *keep]
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            found = list(zip(*scorer.score(batch.column(batch.num_columns - 1).to_pylist())))
-            if not found:
-                continue
-            types = [pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(found, types))],
-                names=[*names, "n_tokens", "logs", "frequent_log", "n_frequent", "others", "times"])
-
-    schema = f"{head}, n_tokens long, logs array<double>, frequent_log double, n_frequent long, others array<binary>, times array<long>"
-    scored = docs.select(*names, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = materialize(scored, "scored")  # from here on ``row`` is fixed
-    found = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("p")).select("row", F.col("p.others").alias("word"), F.col("p.times").alias("times"))
-    unseen = found.select("word").distinct().join(rare, "word", "left_anti").withColumn("n", F.lit(0).cast("long"))
-    codes = rare.unionByName(materialize(code_lengths(unseen, pairs, model.low, list(model.shares)), "unseen-coded"))
-    columns = [f"code_{k}" for k in range(len(model.shares))]
-    sums = found.join(codes, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
-        *(F.sum(F.col("times") * F.col(c)).alias(c) for c in columns))
+    inner = [f"kept_{i}" for i in range(len(names))]
+    low = spark.sparkContext.broadcast(model.low)
+    some = docs.select(*(F.col(c).alias(i) for c, i in zip(names, inner)), F.col(text).alias("text"))
+    chunks = materialize(some.mapInArrow(_ask(model.shards), "chunk long, kind int, shard int, keys binary, payload binary"), "ppm-chunks")
+    asked = chunks.filter("kind >= 0").select("shard", "kind", "chunk", "keys", F.lit(None).cast("binary").alias("counts"))
+    known = model.rows.select("shard", "kind", F.lit(None).cast("long").alias("chunk"), "keys", "counts")
+    dealt = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", F.col("chunk").asc_nulls_first())
+    answers = dealt.mapInArrow(_answer(low), "chunk long, kind int, keys binary, payload binary")
+    texts = chunks.filter("kind < 0").select("chunk", "kind", "keys", "payload")
+    together = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    head = ", ".join(f"{i} {kinds[c]}" for c, i in zip(names, inner))
+    found = together.mapInArrow(_finish(inner), f"{head}, n_tokens long, n_known long, known_log double, score double")
     whole = math.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
-    logs = F.array(*(F.col("logs")[k] + F.coalesce(c, F.lit(0.0)) + math.log10(share) for k, (c, share) in enumerate(zip(columns, model.shares.values()))))
-    top = F.array_max("by_class")
-    mixed = top + F.log10(F.aggregate("by_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
-    return scored.join(sums, "row", "left").withColumn("by_class", logs).select(
-        *names, "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        (F.col("frequent_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), mixed.alias("score"))
+    return found.select(
+        *(F.col(i).alias(c) for c, i in zip(names, inner)), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("known_log") - F.col("n_tokens") * whole).alias("base_score"), "score")
 
 
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32(doc_id) mod 5 is not 1."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 5) == 1)
-    model, pairs, rare = train(docs.filter(~F.col("held_out")), label="lang")
-    return score(docs, model, pairs, rare, keep=("held_out",)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 5 is not 1.
+
+    Null and empty texts are an end alone; repeated rows each keep a row.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 1)
+    return score(docs, train(docs.filter(~F.col("held_out"))), keep=("held_out",))
