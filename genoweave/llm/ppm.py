@@ -38,7 +38,7 @@ from .shingles import GAMMA, _BYTES, _power_tables, mix
 
 DEPTH = 6
 LOW = 2  # orders up to this one are the same in every shard
-SLICE_BYTES = 1 << 22  # of text worked on at a time
+SLICE_BYTES = 1 << 21  # of text worked on at a time
 CHUNK_KEYS = 1 << 23  # distinct grams (before merging slices) after which a chunk ends
 MODEL_KEYS = 1 << 22  # pairs of a shard held before they are summed
 
@@ -64,6 +64,15 @@ def unpack(raw: bytes, ordered: bool = True) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if ordered else values
 
 
+def pack_values(values: np.ndarray, kind: int) -> bytes:
+    """Logarithms of grams (all of one sign, so their sums keep 32 bits' precision) or counts of words."""
+    return zstandard.compress(values.astype("<f4").tobytes(), 1) if kind == GRAM else pack(values, False)
+
+
+def unpack_values(raw: bytes, kind: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<f4").astype(np.float64) if kind == GRAM else unpack(raw, False)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -395,7 +404,7 @@ def _answer(model_low: tuple[np.ndarray, np.ndarray]):
                 return trie.log_of(keys)
             at = np.minimum(np.searchsorted(known[0], keys), max(0, known[0].size - 1))
             there = (known[0][at] == keys) if known[0].size else np.zeros(keys.size, bool)
-            return np.log10(np.where(there, known[1][at] if known[0].size else 0, 0) + 0.5)
+            return np.where(there, known[1][at] if known[0].size else 0, 0)
 
         for batch in batches:
             shards, kinds, chunks, keys, counts = (c.to_pylist() for c in batch.columns)
@@ -419,11 +428,11 @@ def _answer(model_low: tuple[np.ndarray, np.ndarray]):
                         size += asked[-1].size
                         end += 1
                     some, back = np.unique(np.concatenate(asked), return_inverse=True)
-                    found = values(mine[1], some).astype("<f4")[back]
+                    found = values(mine[1], some)[back]
                     cuts = np.cumsum([a.size for a in asked])[:-1]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(chunks[first:end], pa.int64()), pa.array(np.full(end - first, mine[1]), pa.int32()), pa.array(keys[first:end], pa.binary()),
-                         pa.array([zstandard.compress(v.tobytes(), 1) for v in np.split(found, cuts)], pa.binary())], names=["chunk", "kind", "keys", "payload"])
+                         pa.array([pack_values(v, mine[1]) for v in np.split(found, cuts)], pa.binary())], names=["chunk", "kind", "keys", "payload"])
                     first = end
 
     return run
@@ -494,23 +503,22 @@ def _finish(names: list[str]):
                 np.add.at(tokens, owner, some.tokens())
                 keys = np.sort(some.grams(True))
                 distinct, first = runs(keys >> np.uint64(8))
-                values = np.repeat(ready(GRAM)[1][np.searchsorted(ready(GRAM)[0], distinct)].astype(np.float64), np.diff(np.append(first, keys.size)))
+                values = np.repeat(ready(GRAM)[1][np.searchsorted(ready(GRAM)[0], distinct)], np.diff(np.append(first, keys.size)))
                 np.add.at(logs, owner, np.bincount((keys & np.uint64(255)).astype(np.int64), values, k))
                 words, piece = words_and_ends(some)
-                values = ready(WORD)[1][np.searchsorted(ready(WORD)[0], words)].astype(np.float64)
-                np.add.at(base, owner, np.bincount(piece, values, k))
-                np.add.at(known, owner, np.bincount(piece, values > 0, k).astype(np.int64))  # log10(c + 0.5) is above 0 from c = 1 on
+                counts = ready(WORD)[1][np.searchsorted(ready(WORD)[0], words)].astype(np.float64)
+                np.add.at(base, owner, np.bincount(piece, np.log10(counts + 0.5), k))
+                np.add.at(known, owner, np.bincount(piece, counts > 0, k).astype(np.int64))
             return [tokens, known, base, logs]
 
         for batch in batches:
             for chunk, kind, keys, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != current:
                     current, answers = chunk, {}
-                raw = zstandard.decompress(payload)
                 if kind >= 0:
-                    answers.setdefault(kind, []).append((unpack(keys), np.frombuffer(raw, "<f4")))
+                    answers.setdefault(kind, []).append((unpack(keys), unpack_values(payload, kind)))
                     continue
-                with pa.ipc.open_stream(raw) as stream:
+                with pa.ipc.open_stream(zstandard.decompress(payload)) as stream:
                     for part in stream:
                         found = score(part.column(part.num_columns - 1).to_pylist())
                         yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found)], names=[*names, "n_tokens", "n_known", "known_log", "score"])
