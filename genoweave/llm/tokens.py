@@ -10,19 +10,21 @@ encoded whole. Special tokens' strings inside a text are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 CACHE_WORDS = 700_000
 LONG_PART = 200  # characters; longer parts are not kept
-BATCH_WORDS = 200  # new parts encoded in one call
+BATCH_WORDS = 100  # new parts encoded in one call
+BLOCK_TEXTS = 64  # texts whose parts are looked up together
 
 #: Characters that are white space for the tokenizers or for str.split but not one of " \\t\\n\\v\\f\\r".
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)),
               "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 #: With one of these in a text, a space can stand inside a run of white space, so spaces are not safe cuts.
 RUNS = ("  ", "\n \n", "\t", "\r", "\f", "\v")
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,12 +36,15 @@ def tokenizer_path(name: str) -> str:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # any case: a normalizer may fold the text before added tokens are looked for
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added and not specials_as_text else None
+        self.tok.encode_special_tokens = specials_as_text
         if hasattr(self.tok.model, "_resize_cache"):  # only new words get there, so its own cache only costs time
             self.tok.model._resize_cache(0)
         self.young: dict[str, bytes] = {}
@@ -89,50 +94,46 @@ class WordEncoder:
             return None
         return text.split(" ")
 
+    def _ids_of(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of distinct parts, from the cache or new."""
+        found = dict(zip(parts, map(self.young.get, parts)))
+        if missed := [p for p, ids in found.items() if ids is None]:
+            ready = {p: self.old[p] for p in missed if p in self.old}
+            ready |= self._learn([p for p in missed if p not in ready])
+            found |= ready
+            self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(texts), 64):
-            whole, waiting, new = [], [], set()
-            get = self.young.get
-            for i in range(at, min(at + 64, len(texts))):
+        for at in range(0, len(texts), BLOCK_TEXTS):
+            whole, cut = [], []
+            for i in range(at, min(at + BLOCK_TEXTS, len(texts))):
                 text = texts[i]
                 if not text:
                     continue
-                if any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
+                if self.special and self.special(text) or any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
                     whole.append(i)
-                    continue
-                first, parts = b"", self._cut(text)
-                if parts is None:
+                elif (parts := self._cut(text)) is None:
                     whole.append(i)
-                    continue
-                if not self.drops_space:
-                    head = parts.pop(0)
-                    first = self._whole([head])[0] if head else b""
-                got = list(map(get, parts))
-                if None in got:
-                    gaps = [k for k, ids in enumerate(got) if ids is None]
-                    missed = [parts[k] for k in gaps]
-                    new.update(missed)
-                    waiting.append((i, first, got, gaps, missed))
                 else:
-                    out[i] = first + b"".join(got)
+                    cut.append((i, "" if self.drops_space else parts.pop(0), parts))
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
-            if waiting:
-                ready = {p: self.old[p] for p in new if p in self.old}
-                ready |= self._learn([p for p in new if p not in ready])
-                for i, first, got, gaps, missed in waiting:
-                    for k, p in zip(gaps, missed):
-                        got[k] = ready[p]
-                    out[i] = first + b"".join(got)
-                self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
-                if len(self.young) > CACHE_WORDS:
-                    self.old, self.young = self.young, {}
+            heads = [(i, head) for i, head, _ in cut if head]
+            for (i, _), ids in zip(heads, self._whole([head for _, head in heads])):
+                out[i] = ids
+            # parts are looked up once a block: most of its words recur in it
+            get = self._ids_of(set().union(*(parts for _, _, parts in cut))).__getitem__
+            for i, _, parts in cut:
+                out[i] += b"".join(map(get, parts))
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, specials_as_text: bool = False) -> WordEncoder:
     """This process's encoder for a tokenizer file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, specials_as_text) not in _encoders:
+        _encoders[path, specials_as_text] = WordEncoder(path, specials_as_text)
+    return _encoders[path, specials_as_text]

@@ -12,9 +12,10 @@ EDGES = [None, "", " ", "\n\n", "a", " a  b\t\nc ", "x  y", "x \n y  ", "<|e
          "it's  they'll\r\n\r\n 12 345 ... !?", "\x1c a\x1f b", "日本語 text ", "á ́b", "\x00\x01 \x7f", "same", "same", "word " * 9000]
 
 
-def plain(name):
+def plain(name, specials_as_text=False):
     tok = Tokenizer.from_file(tokenizer_path(name))
-    tok.encode_special_tokens = True
+    if specials_as_text:
+        tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -27,6 +28,16 @@ def test_encoder_equals_library(name, all_docs):
             assert np.frombuffer(got, "<u4").tolist() == want(t), t
 
 
+@pytest.mark.parametrize("name, end", [("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)])
+def test_added_tokens_in_a_text(name, end):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a <|ENDOFTEXT|> b", "a<|endoftext|>b c d"]
+    for as_text in (False, True):
+        enc, want = WordEncoder(tokenizer_path(name), as_text), plain(name, as_text)
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        assert got == [want(t) for t in texts]
+        assert (end in got[0]) != as_text
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
