@@ -2,16 +2,21 @@
 
 One pass over the texts gives each its shingle set's identity (128 bits), its
 size and the hashes of its signature's bands. Equal sets are one node from then
-on, so exact copies cost nothing more. Nodes that share a band hash fall into a
-candidate group; a group's full sets are compared exactly, in tasks of bounded
-size: a group is dealt into blocks of about ``BLOCK_SHINGLES``, and every pair of
-blocks is a task, which counts all intersections through an inverted index and
-returns a spanning star of the links it confirmed. The stars of all tasks are
-joined into components.
+on, so exact copies cost nothing more. Nodes that share a band hash are a
+bucket. Every member is first compared with the bucket's smallest node, a number
+of comparisons in proportion to the members; what this links is joined into
+components. Only buckets that still hold several components go on: they are dealt
+into blocks by set size and by whether a set is in the bucket's largest component,
+and pairs of blocks are compared in tasks of bounded size. Two blocks meet only if
+their sizes let them reach the threshold, and never two of the largest component,
+whose sets are connected already; so neither a large group of copies nor a chain of
+texts that share boilerplate makes a quadratic number of tasks, and no pair that a
+bucket proposes is left out. Equal buckets are compared once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from .shingles import GAMMA, mix, shingle_set
 SHINGLE_WORDS = 5
 SLOTS = 288  # of a signature
 MISS = 2e-5  # a pair at the threshold shares no band with at most this probability
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 200_000  # of a block, and of a bucket that is compared as a whole
 CHUNK = 30_000  # shingles signed together
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -157,33 +162,79 @@ def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _confirm(percent: int):
+    """Links inside each task's sets: rows (task, set_id, shingles) ordered by task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
+        task, held = None, {}
 
-        def solve() -> list[tuple[bytes, bytes]]:
+        def solve() -> pa.RecordBatch:
             ids = sorted(held)
-            if len(ids) < 2:
-                return []
-            roots = link_groups([held[i] for i in ids], percent)
-            return [(ids[r], ids[i]) for i, r in enumerate(roots) if r != i]
-
-        def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            roots = link_groups([held[i] for i in ids], percent) if len(ids) > 1 else ()
+            found = [(ids[r], ids[i]) for i, r in enumerate(roots) if r != i]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for g, i, j, set_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, i, j) != key:
-                    yield out(solve())
-                    key, held = (g, i, j), {}
-                if set_id not in held:
-                    shingles = shingle_set(text, SHINGLE_WORDS)
-                    if set_identity(shingles) == set_id:  # else another row with the same doc_id
-                        held[set_id] = shingles
-        yield out(solve())
+            for t, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if t != task:
+                    yield solve()
+                    task, held = t, {}
+                held[node] = shingles.values.to_numpy().view(np.uint64)
+        yield solve()
 
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingles) of texts whose set is the one looked for (another row can have the same key)."""
+    for batch in batches:
+        nodes, sets = [], []
+        for node, set_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = shingle_set(text.as_py(), SHINGLE_WORDS)
+            if set_identity(found) == set_id:
+                nodes.append(node)
+                sets.append(found.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of buckets' members to their bucket's smallest node, confirmed on full sets."""
+    pairs = buckets.filter("hub <> node").select("hub", "node").distinct()
+    one = sets.select("node", F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "node").join(other, "hub")
+    possible = both.filter(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    return possible.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _rest_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside the buckets that still hold several."""
+    rooted = buckets.join(roots.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    # equal buckets (by their members and these members' components) are one
+    print_ = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
+    open_ = rooted.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"), print_).filter("low < high")
+    open_ = open_.groupBy("print", "members").agg(F.min("band").alias("band")).select("band")
+    rows = materialize(rooted.join(open_, "band").join(sets.select("node", F.size("shingles").alias("n")), "node"), "open-buckets")
+
+    main = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
+    # sets that can reach the threshold are in one size class or in neighbouring ones
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    kinds = rows.join(main, "band").select("band", "node", "n", (F.col("c") == F.col("main")).alias("in_main"), F.floor(F.log("n") / width).alias("size_class"))
+    blocks = kinds.groupBy("band", "in_main", "size_class").agg(F.sum("n").alias("total"))
+    blocks = blocks.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
+    shape = blocks.groupBy("band").agg(F.sum("total").alias("all"), F.collect_list(F.struct("in_main", "size_class", "blocks")).alias("shape"))  # two entries a size class
+    dealt = kinds.join(shape, "band").join(blocks.select("band", "in_main", "size_class", "blocks"), ["band", "in_main", "size_class"])
+    dealt = dealt.withColumn("own", F.struct("in_main", "size_class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    near = F.filter("shape", lambda s: (F.abs(s["size_class"] - F.col("size_class")) <= 1) & ~(s["in_main"] & F.col("in_main")))
+    others = F.flatten(F.transform(near, lambda s: F.transform(
+        F.sequence(F.lit(0), s["blocks"] - 1), lambda b: F.struct(s["in_main"].alias("in_main"), s["size_class"].alias("size_class"), b.alias("block")))))
+    tasks = F.when(F.col("all") <= BLOCK_SHINGLES, F.array(F.xxhash64("band"))).otherwise(
+        F.transform(others, lambda o: F.xxhash64("band", F.least(o, F.col("own")), F.greatest(o, F.col("own")))))
+    asked = dealt.select("node", F.explode(tasks).alias("task"))
+    full = asked.join(sets, "node").select("task", "node", "shingles").repartition("task").sortWithinPartitions("task")
+    return full.mapInArrow(_confirm(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept, class_id, text_hash), one per row of ``docs``.
 
@@ -197,32 +248,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
     signed = materialize(
         docs.mapInArrow(_sign(*bands_for(percent)), "doc_id long, n_shingles long, set_id binary, bands array<long>, text_hash long"), "signed")
-    nodes = signed.filter(F.col("set_id").isNotNull())
-    node = F.xxhash64("set_id")  # only proposes groups, so a clash costs work, not correctness
+    node = F.when(F.col("set_id").isNotNull(), F.xxhash64("set_id"))  # 64 of the 128 bits name a set from here on
+    named = signed.withColumn("node", node)
+    nodes = named.filter("node is not null")
 
-    members = nodes.select(node.alias("node"), "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("band", "hub")
     hubs = materialize(hubs, "hubs")  # written, so that the join reads two plain exchanges and a frequent band can be split
-    near = members.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    groups = components(near).select("node", F.col("root").alias("g"))
-
-    sets = nodes.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    sets = materialize(sets, "sets")
-    grouped = materialize(sets.withColumn("node", node).join(groups, "node").select("g", "set_id", "doc_id", "n"), "grouped")
-    totals = grouped.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = grouped.join(totals, "g").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    dealt = dealt.select("g", "set_id", F.col("doc_id").alias("of_doc"), pairs.alias("pairs"))
+    buckets = materialize(members.join(hubs, "band").select("band", "hub", "node"), "buckets")
+
+    distinct = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("set_id").alias("set_id")), "distinct-sets")
+    wanted = distinct.join(buckets.select("node").distinct(), "node").select("node", "set_id", F.col("doc_id").alias("of_doc"))
     # always a merge join: the side without texts is a share of the documents, at no size a broadcast
-    texts = docs.select("doc_id", "text").join(dealt.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("g", F.explode("pairs").alias("p"), "set_id", "text")
-    tasks = texts.select("g", "p.i", "p.j", "set_id", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    links = tasks.mapInArrow(_confirm(percent), "a binary, b binary")
-
-    roots = components(links)
-    rooted = sets.join(roots, sets.set_id == roots.node, "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.select("set_id", "root").join(smallest, "root").select("set_id", "component_id", F.col("root").alias("class_id"))
-    out = signed.select("doc_id", "n_shingles", "set_id", "text_hash").join(classes, "set_id", "left")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "set_id", "text")
+    sets = materialize(texts.mapInArrow(_shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "candidate-sets")
+
+    roots = materialize(components(_star_links(buckets, sets, percent)), "star-roots")
+    rest = _rest_links(buckets, sets, roots, percent)
+    for end in ("a", "b"):  # from sets to the components they are in already
+        known = roots.select(F.col("node").alias(end), F.col("root").alias("known"))
+        rest = rest.join(known, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
+    further = components(rest).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    rooted = distinct.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted.join(further, "root", "left").select("node", "doc_id", F.coalesce("further", "root").alias("class_id")), "rooted")
+    smallest = rooted.groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
+    classes = rooted.join(smallest, "class_id").select("node", "component_id", "class_id")
+    out = named.join(classes, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
                       "class_id", "text_hash")

@@ -18,7 +18,7 @@ def sets_of(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [sets_of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -30,9 +30,9 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)):
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
                 n = len(a & b)
-                if 100 * n >= 85 * (len(a) + len(b) - n):
+                if 100 * n >= percent * (len(a) + len(b) - n):
                     parent[find(i)] = find(j)
     smallest = {}
     for i, (d, _) in enumerate(rows):
@@ -86,6 +86,23 @@ def test_many_blocks(spark, make_docs, monkeypatch):
     check(spark, make_docs(rows), rows)
 
 
+def test_buckets_of_several_components(spark, make_docs, monkeypatch):
+    """A common passage puts all texts into common buckets; few of them are near copies, of many sizes."""
+    import genoweave.llm.neardup as nd
+
+    rng = np.random.default_rng(8)
+    shared = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(70):
+        own = [f"o{i // 2 if i % 4 < 2 else i}x{j}" for j in range(int(rng.integers(20, 160)) if i % 2 == 0 else 40)]
+        if i % 4 == 1:
+            own = [f"o{i // 2}x{j}" for j in range(int(rng.integers(20, 160)))]
+        rows.append((i, " ".join(shared + own)))
+    for blocks in (200_000, 1500, 300):
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", blocks)
+        check(spark, make_docs(rows), rows)
+
+
 def test_window_hashes_follow_words():
     words = words_of("a bb a bb a bb c", True)
     h = Windows(words).hashes(2)
