@@ -5,7 +5,8 @@ into that budget plus one pieces, so every such occurrence holds one piece
 unchanged. All pieces are searched at once in each whole text. A hit around
 which more of the item's letter grams are missing than its budget of edits can
 destroy is dropped; any other is verified with Myers' bit-parallel edit distance
-to its left and to its right.
+to its left and to its right. Items of fewer than ``SHORT_CHARS`` characters must
+occur unchanged and as whole words, as a few edits would make other words of them.
 Texts and items are compared in lower case with white space runs as one space.
 
 Items are broadcast in blocks of about ``BLOCK_CHARS`` characters, each matched
@@ -14,6 +15,7 @@ against all texts; the blocks bound memory, not the number of items.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 ERROR_RATE = 0.1
-MIN_CHARS = 20  # shorter items (after normalising) say nothing about leakage and match nothing
+SHORT_CHARS = 20  # shorter items (after normalising) have no budget and match whole words only
 BLOCK_CHARS = 1_000_000
 GRAM = 3  # an edit destroys at most so many of an item's grams of that length
 
@@ -72,15 +74,20 @@ def prefix_distance(masks: dict[str, int], m: int, text: str, limit: int) -> tup
     return (best, length) if best <= limit else (limit + 1, 0)
 
 
+def _border(text: str, at: int) -> bool:
+    """Place ``at`` does not part two letters or digits."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
 class ItemMatcher:
     """Finds items (id, text) in texts."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE) -> None:
         by_text: dict[str, list[int]] = {}
         for key, text in items:
-            if len(t := normal(text)) >= MIN_CHARS:
+            if t := normal(text):
                 by_text.setdefault(t, []).append(key)
-        self.items = [(t, int(error_rate * len(t)), keys) for t, keys in by_text.items()]
+        self.items = [(t, int(error_rate * len(t)) if len(t) >= SHORT_CHARS else 0, keys) for t, keys in by_text.items()]
         pieces: dict[str, list] = {}
         for n, (t, budget, _) in enumerate(self.items):
             cuts = [k * len(t) // (budget + 1) for k in range(budget + 2)]
@@ -114,6 +121,12 @@ class ItemMatcher:
                 known = found.get(n)
                 if known and known[0] == 0:
                     continue  # nothing better can come
+                if len(self.items[n][0]) < SHORT_CHARS:
+                    if _border(t, begin) and _border(t, last + 1):
+                        found[n] = (0, begin, last + 1)
+                        if any_will_do:
+                            return found
+                    continue
                 left_size, right_size = a + budget, len(self.items[n][0]) - b + budget
                 window = t[max(0, begin - left_size) : last + 1 + right_size]
                 present = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
@@ -132,6 +145,17 @@ class ItemMatcher:
         return found
 
 
+_matchers: dict[str, ItemMatcher] = {}
+
+
+def _matcher(token: str, shared: Broadcast, error_rate: float) -> ItemMatcher:
+    """This worker's matcher for a block of items; only the latest is kept."""
+    if token not in _matchers:
+        _matchers.clear()
+        _matchers[token] = ItemMatcher(shared.value, error_rate)
+    return _matchers[token]
+
+
 def _item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
     """The items with id and text, in blocks of about ``BLOCK_CHARS`` characters."""
     items = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("item_text"))
@@ -147,9 +171,9 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                item_key: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """Rows (doc_id, item_id, distance, budget, start, end) for every item found in a row of ``docs``.
 
-    Null and empty texts hold nothing; items that normalise to fewer than
-    ``MIN_CHARS`` characters, or with null id, match nothing; items of equal
-    text are all returned. A repeated document row repeats its result. start and
+    Null and empty texts hold nothing; items with null id, or that normalise to
+    nothing, match nothing; items of fewer than ``SHORT_CHARS`` characters match
+    unchanged and as whole words; items of equal text are all returned. A repeated document row repeats its result. start and
     end are places of the best (first among equals) occurrence in the
     normalised text. Only the named columns are read.
     """
@@ -160,8 +184,8 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for block in _item_blocks(items, item_key, item_text):
         shared = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = ItemMatcher(shared.value, error_rate)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(token, shared, error_rate)
             for batch in batches:
                 cols: list[list] = [[] for _ in range(6)]
                 for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -180,10 +204,11 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def _clean(shared: Broadcast, error_rate: float):
     """A boolean UDF: the text holds none of the broadcast items."""
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = ItemMatcher(shared.value, error_rate)
+        matcher = _matcher(token, shared, error_rate)
         for batch in batches:
             yield pd.Series([not matcher.match(t, True) for t in batch], dtype=bool)
 
@@ -199,5 +224,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
 
 
 def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item found, within a tenth of its characters, in every document."""
+    """Every benchmark item found, within a tenth of its characters, in every document; repeated rows repeat their results."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from genoweave.llm.decontam import ItemMatcher, _masks, find_items, normal, op6_pigeonhole_decontamination, prefix_distance
@@ -26,8 +28,8 @@ def test_prefix_distance():
 
 def brute(text, item, rate=0.1):
     t, p = normal(text), normal(item)
-    if len(p) < 20:
-        return None
+    if len(p) < 20:  # unchanged and as whole words
+        return 0 if p and re.search(r"(?<![^\W_])" * p[0].isalnum() + re.escape(p) + r"(?![^\W_])" * p[-1].isalnum(), t) else None
     d = min(table_of(p, t, False))
     return d if d <= int(rate * len(p)) else None
 
@@ -59,12 +61,29 @@ def test_supplied_documents(spark, sf_dir, all_docs):
         assert r.distance <= r.budget
 
 
+def test_query_against_full_tables(spark, make_docs):
+    rng = np.random.default_rng(2)
+    words = ["alpha", "beta", "gamma", "delta", "of", "17", "+", "is", "What", "é1"]
+    items = [(i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate([1, 2, 3, 4, 6, 8, 10, 12])] + [(90, "What is 17 + 25?"), (91, "abcde"), (92, "q")]
+    docs = []
+    for d in range(120):
+        chars = list(items[d % len(items)][1])
+        for p in rng.integers(0, len(chars), int(rng.integers(0, 6))):
+            chars[p] = str(rng.choice(["", "x", "ab", chars[p]]))
+        docs.append((d, " ".join(rng.choice(words, 8)) + " " + "".join(chars) + str(rng.choice([" ", "", ".", "s"])) + " ".join(rng.choice(words, 5))))
+    docs += [(200, "(abcde)"), (201, "xabcde"), (202, "abcdef abcde"), (203, "so: WHAT is\n17 + 25? yes"), (204, "q"), (205, None)]
+    got = {(r.doc_id, r.item_id): r.distance for r in op6_pigeonhole_decontamination(spark, make_docs(docs, benchmark=(items, "item_id long, text string"))).collect()}
+    want = {(d, i): n for d, t in docs for i, p in items if (n := brute(t, p)) is not None}
+    assert got == want
+    assert {(200, 91), (202, 91), (203, 90), (204, 92)} <= set(got) and (201, 91) not in got
+
+
 def test_blocks_and_edges(spark, make_docs, monkeypatch):
     import genoweave.llm.decontam as dc
 
     monkeypatch.setattr(dc, "BLOCK_CHARS", 60)
     a, b = "the quick brown fox jumps over it", "pack my box with five dozen jugs"
-    items = [(1, a), (2, a.upper()), (3, b), (4, None), (5, ""), (6, "short"), (None, b)]
+    items = [(1, a), (2, a.upper()), (3, b), (4, None), (5, ""), (6, "short"), (None, b), (7, " \n")]
     docs = [(1, a), (2, "x " + a.replace("quick", "quack") + " y"), (3, None), (4, ""), (5, b[:-12]), (6, "z" * 50000 + b), (6, b), (None, b)]
     sf = make_docs(docs, benchmark=(items, "item_id long, text string"))
     got = sorted((r.doc_id or -1, r.item_id, r.distance) for r in op6_pigeonhole_decontamination(spark, sf).collect())

@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert set(kept) <= set(rows.values()) and len(kept) >= 0.97 * len(rows)
 
     got = stages["near_duplicates"](spark, docs, sf_dir).collect()
-    want = classes([(d, r.text) for d, r in rows.items()])
+    want = classes([(d, r.text) for d, r in rows.items()], 80)
     assert sorted(r.doc_id for r in got) == sorted(d for d, (_, _, k) in want.items() if k)
     assert all(rows[r.doc_id] == r for r in got)
 
