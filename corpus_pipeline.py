@@ -32,9 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class at similarity 0.85."""
+    """One document of each class at similarity 0.80."""
     ship_code(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
