@@ -17,13 +17,16 @@ import numpy as np
 CACHE_WORDS = 700_000
 LONG_PART = 200  # characters; longer parts are not kept
 BATCH_WORDS = 100  # new parts encoded in one call
-BLOCK_TEXTS = 64  # texts whose parts are looked up together
+BLOCK_TEXTS = 256  # texts whose new parts are encoded together
+MARKS = ".,;:!?"  # that end a run of letters
+GLUE = "\x01"  # before a part that had no space before it
 
 #: Characters that are white space for the tokenizers or for str.split but not one of " \\t\\n\\v\\f\\r".
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)),
               "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 #: With one of these in a text, a space can stand inside a run of white space, so spaces are not safe cuts.
 RUNS = ("  ", "\n \n", "\t", "\r", "\f", "\v")
+LINE_RUNS = ("\n\n", "\n ", " \n")
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -56,6 +59,7 @@ class WordEncoder:
         self.closes = np.zeros_like(self.opens)  # ids that end a word
         for token, i in vocab.items():
             self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
+        self.tails = dict(zip(MARKS, self._whole(list(MARKS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,59 +80,78 @@ class WordEncoder:
                 known |= {p: raw[at[i] : at[i + 1]] for i, p in enumerate(group)}
         return known
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def _learn_plain(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of new parts. A part that lost the space before it is told by its first character."""
         if self.drops_space:  # a word of letters only is one unit to the tokenizer
             known = self._joined([p for p in parts if p.isalpha()])
         else:
-            known = self._joined([p for p in parts if p and not p[0].isspace() and not p[-1].isspace()])
+            known = self._joined([p for p in parts if p[0] not in "\n" + GLUE and p[-1] != "\n"])
         rest = [p for p in parts if p not in known]
         lead = "" if self.drops_space else " "
-        return known | dict(zip(rest, self._whole([lead + p for p in rest])))
+        return known | dict(zip(rest, self._whole([p[1:] if p[0] == GLUE else lead + p for p in rest])))
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts; letters and the mark after them are two units to the tokenizer, so these parts need their letters only."""
+        whole, ended = [], []
+        for p in parts:
+            (ended if p[-1] in self.tails and p[:-1].isalpha() else whole).append(p)
+        known = self._learn_plain(whole)
+        bases = {p[:-1] for p in ended}.difference(known, self.young)
+        known |= {p: self.old[p] for p in bases if p in self.old}
+        known |= self._learn_plain([p for p in bases if p not in known])
+        young = self.young
+        for p in ended:
+            base = p[:-1]
+            known[p] = (known[base] if base in known else young[base]) + self.tails[p[-1]]
+        return known
 
     def _cut(self, text: str) -> list[str] | None:
         """Parts whose ids, in order, are the text's; each but the first of a spaced tokenizer had a space before it."""
         if self.drops_space:
             return text.split()
-        if any(r in text for r in RUNS) or text[-1].isspace():
+        if any(r in text for r in RUNS) or text[-1].isspace() or GLUE in text:
             return None
+        if "\n" in text and not any(r in text for r in LINE_RUNS) and text[0] != "\n":
+            text = text.replace("\n", f" {GLUE}\n {GLUE}")  # a line's end is a unit of its own
         return text.split(" ")
 
-    def _ids_of(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of distinct parts, from the cache or new."""
-        found = dict(zip(parts, map(self.young.get, parts)))
-        if missed := [p for p, ids in found.items() if ids is None]:
-            ready = {p: self.old[p] for p in missed if p in self.old}
-            ready |= self._learn([p for p in missed if p not in ready])
-            found |= ready
-            self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-        return found
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         for at in range(0, len(texts), BLOCK_TEXTS):
-            whole, cut = [], []
+            whole, waiting, new = [], [], set()
+            get = self.young.get
             for i in range(at, min(at + BLOCK_TEXTS, len(texts))):
                 text = texts[i]
                 if not text:
                     continue
-                if self.special and self.special(text) or any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
-                    whole.append(i)
-                elif (parts := self._cut(text)) is None:
+                parts = None
+                if not (self.special and self.special(text)) and not any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
+                    parts = self._cut(text)
+                if parts is None:
                     whole.append(i)
+                    continue
+                if not self.drops_space and (head := parts.pop(0)):
+                    out[i] = self._whole([head])[0]
+                got = list(map(get, parts))
+                if None in got:
+                    gaps = [k for k, ids in enumerate(got) if ids is None]
+                    missed = [parts[k] for k in gaps]
+                    new.update(missed)
+                    waiting.append((i, got, gaps, missed))
                 else:
-                    cut.append((i, "" if self.drops_space else parts.pop(0), parts))
+                    out[i] += b"".join(got)
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
-            heads = [(i, head) for i, head, _ in cut if head]
-            for (i, _), ids in zip(heads, self._whole([head for _, head in heads])):
-                out[i] = ids
-            # parts are looked up once a block: most of its words recur in it
-            get = self._ids_of(set().union(*(parts for _, _, parts in cut))).__getitem__
-            for i, _, parts in cut:
-                out[i] += b"".join(map(get, parts))
+            if waiting:
+                ready = {p: self.old[p] for p in new if p in self.old}
+                ready |= self._learn([p for p in new if p not in ready])
+                for i, got, gaps, missed in waiting:
+                    for k, p in zip(gaps, missed):
+                        got[k] = ready[p]
+                    out[i] += b"".join(got)
+                self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
+                if len(self.young) > CACHE_WORDS:
+                    self.old, self.young = self.young, {}
         return out
 
 
