@@ -10,7 +10,6 @@ encoded whole. Special tokens' strings inside a text are ordinary text.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
@@ -44,9 +43,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        # any case: a normalizer may fold the text before added tokens are looked for
-        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added and not specials_as_text else None
+        added = [] if specials_as_text else self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]  # looked for after the normalizer, which may fold case
         self.tok.encode_special_tokens = specials_as_text
         if hasattr(self.tok.model, "_resize_cache"):  # only new words get there, so its own cache only costs time
             self.tok.model._resize_cache(0)
@@ -105,6 +104,9 @@ class WordEncoder:
             known[p] = (known[base] if base in known else young[base]) + self.tails[p[-1]]
         return known
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added) or bool(self.folded) and any(t in text.lower() for t in self.folded)
+
     def _cut(self, text: str) -> list[str] | None:
         """Parts whose ids, in order, are the text's; each but the first of a spaced tokenizer had a space before it."""
         if self.drops_space:
@@ -125,7 +127,7 @@ class WordEncoder:
                 if not text:
                     continue
                 parts = None
-                if not (self.special and self.special(text)) and not any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
+                if not self._holds_added(text) and not any(c in text for c in (ODD_SPACES[:4] if text.isascii() else ODD_SPACES)):
                     parts = self._cut(text)
                 if parts is None:
                     whole.append(i)

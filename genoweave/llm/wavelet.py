@@ -28,6 +28,7 @@ from .tokens import encoder, tokenizer_path
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
+BATCH_TEXTS = 512  # encoded in one call
 WORD = 512  # bits per rank block
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -176,9 +177,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SH
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 64):
-                some = texts.slice(at, 64).to_pylist()
-                for doc, raw in zip(doc_ids[at : at + 64], enc.encode(some)):
+            for at in range(0, len(doc_ids), BATCH_TEXTS):
+                some = texts.slice(at, BATCH_TEXTS).to_pylist()
+                for doc, raw in zip(doc_ids[at : at + BATCH_TEXTS], enc.encode(some)):
                     raw += end
                     keys.append(doc)
                     ids.append(raw)
