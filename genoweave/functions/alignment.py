@@ -108,3 +108,18 @@ def queryname_keys(prefix: str = "") -> list[Column]:
     c = lambda n: F.col(prefix + n)
     f = c("flags")
     return [c("read_name"), ~has_flag(f, PAIRED), ~has_flag(f, FIRST), has_flag(f, REVERSE), has_flag(f, SECONDARY), has_flag(f, SUPPLEMENTARY)]
+
+
+def sentinel_cigar(cigar: Column) -> Column:
+    """What stands in for a CIGAR of too many elements: the read's length clipped, then the reference length skipped."""
+    part = lambda n, op: F.struct(n.cast("int").alias("len"), F.lit(op).alias("op"))
+    return F.array(part(read_length(cigar), "S"), part(reference_length(cigar), "N"))
+
+
+def inserted_bases(cigar: Column) -> Column:
+    return _length(cigar, "I")
+
+
+def deleted_bases(cigar: Column) -> Column:
+    """Deleted bases; skipped regions are none."""
+    return _length(cigar, "D")

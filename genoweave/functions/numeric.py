@@ -31,6 +31,10 @@ def metric_text(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (x == float("inf")), "?").when(x == float("-inf"), "-?").otherwise(plain)
 
 
+def metric_flag(x: Column) -> Column:
+    return F.when(x, "Y").otherwise("N")
+
+
 def _over(function, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     f = np.vectorize(function, otypes=[float])
     for batch in batches:

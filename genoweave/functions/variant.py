@@ -62,3 +62,70 @@ def split_dropping_trailing(text: Column, pattern: str) -> Column:
     parts = F.split(text, pattern)
     last = F.aggregate(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     return F.slice(parts, F.lit(1), last)
+
+
+def genotype_block(format_: Column, sample: Column, n_alleles: Column) -> Column:
+    """One sample's genotype: alleles (null is a no-call), phased, dp, gq, ad, pl, error.
+
+    A key that is absent, cut off or ``.`` is null. One bad element nulls the
+    whole of AD or PL; a bad DP is an error (``dp``), as are an allele index
+    outside the site's (``allele``), GT behind another key (``gt``) and more
+    values than keys (``values``). GQ is rounded half up, -1 is null.
+    """
+    keys, values = F.split(format_, ":"), F.split(sample, ":")
+    field = lambda key: genotype_field(format_, sample, key)
+    ints = lambda key: _all_ints(F.split(field(key), ","))
+    dp, gq = field("DP"), F.floor(field("GQ").try_cast("double") + 0.5).cast("int")
+    gt_at = F.array_position(keys, "GT")
+    tokens = F.when(gt_at == 1, F.filter(F.split(values[0], r"[/|\\]"), lambda t: t != ""))
+    alleles = F.transform(tokens, lambda t: F.when(t != ".", t.try_cast("int")))
+    bad = F.exists(tokens, lambda t: (t != ".") & F.coalesce(~t.try_cast("int").between(0, n_alleles - 1), F.lit(True)))
+    error = (F.when(F.size(values) > F.size(keys), "values").when(gt_at > 1, "gt").when(bad, "allele")
+             .when(dp.isNotNull() & dp.try_cast("int").isNull(), "dp"))
+    return F.struct(
+        alleles.alias("alleles"), (F.coalesce(values[0].contains("|"), F.lit(False)) & (gt_at == 1)).alias("phased"), dp.try_cast("int").alias("dp"),
+        F.when(gq != -1, gq).alias("gq"), ints("AD").alias("ad"), ints("PL").alias("pl"), error.alias("error"))
+
+
+def _all_ints(parts: Column) -> Column:
+    """The parts as integers; null if one is none."""
+    numbers = F.transform(parts, lambda x: x.try_cast("int"))
+    return F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
+
+
+def likelihoods_seen_before(has_pl: Column, i: Column) -> Column:
+    """A sample before place ``i`` (from 0) of the record's array of flags has a PL, so that this one's GL is not converted."""
+    return F.exists(F.slice(has_pl, F.lit(1), i), lambda x: x)
+
+
+def genotype_of(genotypes: Column, sample: Column) -> Column:
+    """The first genotype (a struct with ``sample``) of a sample; null if there is none."""
+    return F.get(F.filter(genotypes, lambda g: g["sample"] == sample), F.lit(0))
+
+
+def max_ploidy(genotypes: Column, default: int = 2) -> Column:
+    """The largest number of alleles of a genotype."""
+    return F.coalesce(F.array_max(F.transform(genotypes, lambda g: F.size(g["alleles"]))), F.lit(default))
+
+
+def vcf_double(text: Column) -> Column:
+    """A number as variant files write it: decimal or hexadecimal, ``inf``, ``infinity`` and ``nan`` in any case and with a sign; else null."""
+    low = F.lower(F.trim(text))
+    special = F.when(low.rlike(r"^[+-]?nan$"), float("nan")).when(low.rlike(r"^-inf(inity)?$"), float("-inf")).when(low.rlike(r"^\+?inf(inity)?$"), float("inf"))
+    return F.when(special.isNotNull(), special).otherwise(text.try_cast("double"))
+
+
+def vcf_double_text(value: Column) -> Column:
+    """Two decimals from 1 on, three from a hundredth on, else an exponent (negative values too); next to 0 it is 0.00."""
+    return (F.when(value >= 1, F.format_string("%.2f", value)).when(value >= 0.01, F.format_string("%.3f", value))
+            .when(F.abs(value) >= 1e-20, F.format_string("%.3e", value)).otherwise("0.00"))
+
+
+def quality_text(value: Column) -> Column:
+    """Two decimals, left off if both are 0."""
+    return F.regexp_replace(F.format_string("%.2f", value), r"\.00$", "")
+
+
+def vcf_list_text(values: Column) -> Column:
+    """Values joined by commas, a missing one and an empty list as ``.``."""
+    return F.when(F.size(values) == 0, ".").otherwise(F.array_join(values, ",", "."))

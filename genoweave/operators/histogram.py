@@ -10,13 +10,34 @@ def build(df: DataFrame, group: str, bin_: str, weight: Column | int = 1) -> Dat
     return df.groupBy(F.col(group).alias("grp"), F.col(bin_).cast("double").alias("bin")).agg(F.sum(w).cast("double").alias("value"))
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: NaN or an infinity where ``b`` is 0."""
+    by_zero = F.when(a.isNull() | b.isNull(), F.lit(None)).when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def _with(h: DataFrame, stats: DataFrame) -> DataFrame:
+    """Rows with the statistics of their group; null groups are a group too."""
+    other = stats.withColumnRenamed("grp", "grp_")
+    return h.join(other, F.col("grp").eqNullSafe(F.col("grp_"))).drop("grp_")
+
+
 def moments(h: DataFrame) -> DataFrame:
-    """Count, sum, mean and weighted sample standard deviation."""
-    m = h.groupBy("grp").agg(F.sum("value").alias("n"), F.sum(F.col("bin") * F.col("value")).alias("total")).withColumn("mean", F.col("total") / F.col("n"))
-    d = h.join(m, "grp").groupBy("grp").agg(
+    """Count, sum, mean and weighted sample standard deviation.
+
+    A group of weight 0 has a NaN mean; one observation, a NaN deviation.
+    """
+    m = h.groupBy("grp").agg(F.sum("value").alias("n"), F.sum(F.col("bin") * F.col("value")).alias("total")).withColumn("mean", _ratio(F.col("total"), F.col("n")))
+    d = _with(h, m).groupBy("grp").agg(
         F.first("n").alias("n"), F.first("total").alias("total"), F.first("mean").alias("mean"),
         F.sum(F.col("value") * F.pow(F.col("bin") - F.col("mean"), 2)).alias("ss"))
-    return d.select("grp", "n", "total", "mean", F.sqrt(F.col("ss") / (F.col("n") - 1)).alias("sd"))
+    return d.select("grp", "n", "total", "mean", F.sqrt(_ratio(F.col("ss"), F.col("n") - 1)).alias("sd"))
+
+
+def extremes(h: DataFrame) -> DataFrame:
+    """Smallest and largest bin, number of bins, largest value and the mean value of a bin."""
+    return h.groupBy("grp").agg(
+        F.min("bin").alias("min_bin"), F.max("bin").alias("max_bin"), F.count("bin").alias("bins"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"))
 
 
 def _cumulative(h: DataFrame) -> DataFrame:
@@ -34,19 +55,21 @@ def median(h: DataFrame) -> DataFrame:
 
 def mad(h: DataFrame) -> DataFrame:
     """Median of absolute deviations from the median, and the deviation estimated from it."""
-    away = h.join(median(h), "grp").groupBy("grp", F.abs(F.col("bin") - F.col("median")).alias("bin")).agg(F.sum("value").alias("value"))
+    away = _with(h, median(h)).groupBy("grp", F.abs(F.col("bin") - F.col("median")).alias("bin")).agg(F.sum("value").alias("value"))
     return median(away).select("grp", F.col("median").alias("mad"), (F.col("median") * 1.4826).alias("sd_by_mad"))
 
 
 def percentile(h: DataFrame, p: float) -> DataFrame:
-    """The first bin whose cumulative share reaches ``p`` (never interpolated)."""
+    """The first bin whose cumulative share reaches ``p`` (never interpolated); null for a group of weight 0."""
     if not 0 < p < 1:
         raise ValueError("percentile must be inside (0, 1)")
-    return _cumulative(h).groupBy("grp").agg(F.min(F.when(F.col("cum") / F.col("n") >= p, F.col("bin"))).alias("percentile"))
+    return _cumulative(h).groupBy("grp").agg(F.min(F.when(F.try_divide("cum", "n") >= p, F.col("bin"))).alias("percentile"))
 
 
 def cumulative_probability(h: DataFrame, x: float) -> DataFrame:
-    return h.groupBy("grp").agg((F.coalesce(F.sum(F.when(F.col("bin") <= x, F.col("value"))), F.lit(0.0)) / F.sum("value")).alias("probability"))
+    """Share of the weight at bins up to ``x`` (NaN for a group of weight 0)."""
+    found = h.groupBy("grp").agg(F.coalesce(F.sum(F.when(F.col("bin") <= x, F.col("value"))), F.lit(0.0)).alias("up_to"), F.sum("value").alias("n"))
+    return found.select("grp", _ratio(F.col("up_to"), F.col("n")).alias("probability"))
 
 
 def mode(h: DataFrame) -> DataFrame:

@@ -68,3 +68,41 @@ def tag_sets(df: DataFrame, tags: str, ordinal: str) -> DataFrame:
     """Distinct sorted tag lists with dense ids in first-seen order (the dictionary is small, one window ranks it)."""
     seen = df.groupBy(F.array_join(F.array_sort(tags), ",").alias("tags")).agg(F.min(ordinal).alias("first"), F.count(F.lit(1)).alias("n"))
     return seen.withColumn("id", F.row_number().over(W.orderBy("first")) - 1)
+
+
+def linear_bin_width(blocks: DataFrame, width: int, densest: int = 100, widest: int = 1_024_000) -> DataFrame:
+    """The bin width of each contig's linear index: (contig, width, blocks).
+
+    ``blocks`` are (contig, bin, size, features), every bin up to the last.
+    Pairs of bins are joined and the width doubled as long as the fullest bin
+    holds at most ``densest`` average features, more than one bin is left and,
+    with more than one feature, the width is at most ``widest``. All widths are
+    scored in one pass, as a bin of width ``width * 2 ** k`` is ``bin >> k``.
+    """
+    levels = 0
+    while width << levels <= 2 * widest or levels < 18:
+        levels += 1
+    some = blocks.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    sized = some.groupBy("contig", "level", F.expr("shiftright(bin, level)").alias("b")).agg(F.sum("size").alias("size"), F.sum("features").alias("features"))
+    scored = sized.groupBy("contig", "level").agg(F.max("size").alias("top"), F.sum("size").alias("total"), F.sum("features").alias("features"), F.count(F.lit(1)).alias("blocks"))
+    at = F.lit(width) * F.pow(F.lit(2.0), F.col("level"))
+    score = F.col("top") * F.col("features")  # against densest * total: the fullest bin's size in average features
+    stops = (score > densest * F.col("total")) | (F.col("blocks") == 1) | (at > 1e9) | ((F.col("features") > 1) & (at > widest))
+    first = scored.groupBy("contig").agg(F.min(F.when(stops, F.col("level"))).alias("stop"))
+    best = first.select("contig", F.greatest(F.col("stop") - 1, F.lit(0)).alias("level"))
+    return scored.join(best, ["contig", "level"]).select("contig", (F.lit(width) * F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("width"), "blocks")
+
+
+def length_statistics(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per group: features, bases seen, longest, and mean and sample deviation of the running longest length.
+
+    Bases seen adds the distance to the start before, or the whole start where
+    starts go back (and at the front).
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    step = F.col("start") - F.lag("start").over(w)
+    rows = features.withColumn("seen", F.when(step >= 0, step).otherwise(F.col("start"))).withColumn(
+        "longest", F.max(F.col("end") - F.col("start") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("features"), F.sum("seen").alias("bases_seen"), F.max("longest").alias("longest_feature"), F.avg("longest").alias("mean_length"),
+        F.stddev_samp("longest").alias("sd_length"))

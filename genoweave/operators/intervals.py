@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BIN = 1 << 14  # width of the cells in which interval joins meet
+BIN = 1 << 8  # width of the smallest cells in which interval joins meet
+STEP = 8  # factor from one level of cells to the next
+LEVELS = 9
 BAND = 1 << 17  # width of the bands in which a contig's intervals are merged first
 
 
@@ -34,15 +36,39 @@ def merge(df: DataFrame) -> DataFrame:
 
 
 def merge_named(df: DataFrame, tie: str) -> DataFrame:
-    """Merged spans with the first member's strand and all names joined by ``|`` in sort order (null names left out)."""
-    order = W.partitionBy("contig").orderBy("start", "end", "negative", F.col("name").asc_nulls_first(), tie)
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    flagged = df.withColumn("opens", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
-    numbered = flagged.withColumn("island", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(order))
-    return numbered.groupBy("contig", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("negative", "rn").alias("negative"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), "|").alias("names"),
-    ).drop("island")
+    """Merged spans with the first member's strand and all names joined by ``|`` in sort order (null names left out).
+
+    Spans come from ``merge``; each interval then finds the span it lies in. A
+    span's names are one string by definition.
+    """
+    spans = merge(df).select("contig", "start", "end")
+    inside = overlap_join(spans, df.select("contig", "start", "end", "negative", "name", F.col(tie).alias("tie")))
+    member = F.struct(F.col("start_r").alias("s"), F.col("end_r").alias("e"), F.col("negative_r").alias("n"), F.col("name_r").alias("name"), F.col("tie_r").alias("tie"))
+    return inside.groupBy("contig", "start", "end").agg(F.array_sort(F.collect_list(member)).alias("m")).select(
+        "contig", "start", "end", F.col("m")[0]["n"].alias("negative"),
+        F.array_join(F.transform(_by_order("m"), lambda x: x["name"]), "|").alias("names"))
+
+
+def _by_order(members: str) -> Column:
+    """Members in sort order, null names before others among equal spans and strands."""
+    key = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), x["name"].isNotNull().alias("named"), x["name"].alias("name"), x["tie"].alias("tie"))
+    return F.array_sort(F.transform(members, key))
+
+
+def rank_in_group(df: DataFrame, group: str, position: Column, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Rows with their 1-based rank inside ``group`` by ``order``, whose first key is the integer ``position`` (null ones come last).
+
+    A group's rows are ranked inside bands of positions, and a band's rank
+    starts from the counts of the bands before it, so no group is sorted whole.
+    """
+    band = F.floor(position / BAND)
+    banded = df.withColumn("band_", band)
+    totals = banded.groupBy(group, "band_").agg(F.count(F.lit(1)).alias("rows_"))
+    before = F.sum("rows_").over(W.partitionBy(group).orderBy(F.col("band_").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
+    starts = totals.select(F.col(group).alias("group_"), F.col("band_").alias("of_band_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = banded.withColumn("inside_", F.row_number().over(W.partitionBy(group, "band_").orderBy(*order)))
+    joined = inside.join(starts, F.col(group).eqNullSafe(F.col("group_")) & F.col("band_").eqNullSafe(F.col("of_band_")))
+    return joined.withColumn(rank, (F.col("inside_") + F.col("before_")).cast("long")).drop("band_", "group_", "of_band_", "before_", "inside_")
 
 
 def complement(df: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -74,32 +100,53 @@ def split_bands(df: DataFrame, band: int) -> DataFrame:
         F.when(F.col("cut"), F.concat(F.coalesce("name", F.lit("null")), F.lit("."), F.col("b") - first + 1)).otherwise(F.col("name")).alias("name"))
 
 
+def _levels(df: DataFrame, buffer: int, bin_width: int) -> DataFrame:
+    """Rows that a buffer leaves something of, with their span and the level whose cells are as wide as they are long."""
+    s, e = F.col("start") + buffer, F.col("end") - buffer
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(e - s < bin_width * STEP**i, i).otherwise(level)
+    return df.withColumn("s_", s).withColumn("e_", e).filter("s_ <= e_").withColumn("level_", level)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_buffer: int = 0, right_buffer: int = 0, how: str = "inner", bin_width: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals; ``right``'s columns get the suffix ``_r``.
 
     A positive buffer shrinks its side; intervals that it empties match
-    nothing. Both sides are dealt into cells of ``bin_width`` and joined on
-    (contig, cell), so neither needs to fit in memory and a large contig is
-    spread; a pair is kept in the first cell that both reach, so once.
-    ``how`` may be left_semi or left_anti.
+    nothing. Cells have levels, each ``STEP`` times as wide as the one below; an
+    interval lies in at most two cells of its own level, the narrowest that is
+    as wide as it is long. A pair meets at the higher of its two levels, in the
+    first cell that both reach, so once. Which levels the sides have comes from
+    one count of both. Rows are joined on (contig, level, cell), so neither side
+    needs to fit in memory, few long intervals don't widen the cells of the many
+    short ones, and cells that stay hot are split by adaptive execution.
+    ``how`` may be left_semi or left_anti; these look each distinct interval up
+    once and keep repeated rows. Null contigs and places match nothing.
     """
-    def cells(df: DataFrame, buffer: int) -> DataFrame:
-        s, e = F.col("start") + buffer, F.col("end") - buffer
-        first, last = F.floor(s / bin_width), F.floor(e / bin_width)
-        shrunk = df.withColumn("s_", s).withColumn("e_", e).withColumn("c_", first)
-        return shrunk.filter(s <= e).withColumn("cell_", F.explode(F.sequence(first, last)))
-
-    a = cells(left, left_buffer)
-    b = cells(right, right_buffer)
+    if how != "inner":
+        keys = ["contig", "start", "end"]
+        spans = left.select(*keys).distinct()
+        hits = overlap_join(spans, right.select(*keys), left_buffer, right_buffer, bin_width=bin_width).select(*keys).distinct()
+        return left.join(hits, keys, how).select(*left.columns)
+    a, b = _levels(left, left_buffer, bin_width), _levels(right, right_buffer, bin_width)
+    tagged = a.select("level_", F.lit(0).alias("side")).unionByName(b.select("level_", F.lit(1).alias("side"))).distinct().collect()  # at most 2 * LEVELS rows
+    present = [sorted(r["level_"] for r in tagged if r["side"] == side) for side in (0, 1)]
+
+    def cells(df: DataFrame, others: list[int]) -> DataFrame:
+        """One row per cell of the own level and of the higher levels that the other side has."""
+        width = F.element_at(F.lit([bin_width * STEP**i for i in range(LEVELS)]), F.col("at_") + 1)
+        levels = F.array_distinct(F.concat(F.array("level_"), F.filter(F.lit(others).cast("array<int>"), lambda x: x > F.col("level_"))))
+        placed = df.withColumn("at_", F.explode(levels)).withColumn("first_", F.floor(F.col("s_") / width))
+        return placed.withColumn("cell_", F.explode(F.sequence("first_", F.floor(F.col("e_") / width))))
+
+    a = cells(a, present[1])
+    b = cells(b, present[0])
     b = b.select(*(F.col(c).alias(c + "_r") for c in b.columns))
-    meets = (a["contig"] == b["contig_r"]) & (a["cell_"] == b["cell__r"]) & (a["s_"] <= b["e__r"]) & (a["e_"] >= b["s__r"])
-    if how == "inner":
-        pairs = a.join(b, meets & (a["cell_"] == F.greatest(a["c_"], b["c__r"])))
-        return pairs.drop("s_", "e_", "c_", "cell_", "s__r", "e__r", "c__r", "cell__r")
-    hits = a.join(b, meets, "left_semi").select(*left.columns).distinct()
-    if how == "left_semi":
-        return hits
-    return left.join(hits.select(*(F.col(c).alias(c + "_h") for c in left.columns)), [F.col(c).eqNullSafe(F.col(c + "_h")) for c in left.columns], "left_anti")
+    meets = (a["contig"] == b["contig_r"]) & (a["at_"] == b["at__r"]) & (a["cell_"] == b["cell__r"])
+    once = (a["at_"] == F.greatest(a["level_"], b["level__r"])) & (a["cell_"] == F.greatest(a["first_"], b["first__r"]))
+    pairs = a.join(b, meets & once & (a["s_"] <= b["e__r"]) & (a["e_"] >= b["s__r"]))
+    helpers = ["s_", "e_", "level_", "at_", "first_", "cell_"]
+    return pairs.drop(*helpers, *(h + "_r" for h in helpers))
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:

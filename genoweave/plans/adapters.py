@@ -67,7 +67,8 @@ def genotypes(spark, sf_dir):
 
 
 def reads(spark, sf_dir):
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 100)
+    """Bases made of the whole text of each document."""
+    text = F.coalesce("text", F.lit(""))
     bases = F.regexp_replace(F.translate(text, LETTERS, BASES), "[^ACGT]", "N")
     return read(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang"), bases.alias("bases"))
 
@@ -95,7 +96,7 @@ SQL = {
         o_orderstatus = 'P' AS filtered
       FROM orders)""",
     "reads": f"""reads AS (
-      SELECT doc_id, source, lang, regexp_replace(translate(substr(coalesce(text, ''), 1, 100), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') AS bases
+      SELECT doc_id, source, lang, regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') AS bases
       FROM documents)""",
 }
 

@@ -51,15 +51,16 @@ SELECT event_id, row_number() OVER (PARTITION BY i.contig ORDER BY coalesce(c.id
 FROM intervals i LEFT JOIN contigs c ON i.contig = c.name""")
 def interval_sort_rank(spark, sf):
     d = ad.contigs(spark, sf).select(F.col("name").alias("contig"), "idx")
-    order = W.partitionBy("contig").orderBy(F.coalesce("idx", F.lit(-1)), "start", "end", "negative", F.col("name").asc_nulls_first(), "event_id")
-    return ad.intervals(spark, sf).join(F.broadcast(d), "contig", "left").select("event_id", F.row_number().over(order).cast("long").alias("rank_in_contig"))
+    rows = ad.intervals(spark, sf).join(d, "contig", "left")  # one contig has one idx, so it orders contigs only
+    order = [F.col("start"), F.col("end"), F.col("negative"), F.col("name").asc_nulls_first(), F.col("event_id")]
+    return iv.rank_in_group(rows, "contig", F.col("start"), order, "rank_in_contig").select("event_id", "rank_in_contig")
 
 
 @query(with_("intervals") + """
 SELECT event_id, contig, row_number() OVER (PARTITION BY contig ORDER BY start, "end", negative, name NULLS FIRST, event_id) AS rank_in_contig FROM intervals""")
 def interval_natural_rank(spark, sf):
-    order = W.partitionBy("contig").orderBy("start", "end", "negative", F.col("name").asc_nulls_first(), "event_id")
-    return ad.intervals(spark, sf).select("event_id", "contig", F.row_number().over(order).cast("long").alias("rank_in_contig"))
+    order = [F.col("start"), F.col("end"), F.col("negative"), F.col("name").asc_nulls_first(), F.col("event_id")]
+    return iv.rank_in_group(ad.intervals(spark, sf), "contig", F.col("start"), order, "rank_in_contig").select("event_id", "contig", "rank_in_contig")
 
 
 @query(with_("intervals") + MERGED + 'SELECT contig, start, "end", members FROM merged')
@@ -270,8 +271,8 @@ def chunk_coalesce(spark, sf):
 @query(with_("alignments") + f"""SELECT {ID}, row_number() OVER (PARTITION BY ref_index ORDER BY ref_index < 0, ref_index, CASE WHEN ref_index >= 0 THEN pos END,
   flags & 16 <> 0, read_name, flags, mapq, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS place FROM alignments""")
 def coordinate_sort_rank(spark, sf):
-    order = W.partitionBy("ref_index").orderBy(*al.coordinate_keys(), *ad.KEY)
-    return ad.alignments(spark, sf).select(*IDS, F.row_number().over(order).cast("long").alias("place"))
+    place = F.when(F.col("ref_index") >= 0, F.col("pos"))
+    return iv.rank_in_group(ad.alignments(spark, sf), "ref_index", place, [*al.coordinate_keys(), *map(F.col, ad.KEY)], "place").select(*IDS, "place")
 
 
 @query(with_("alignments") + f"""SELECT {ID}, row_number() OVER (PARTITION BY read_name ORDER BY flags & 1 = 0, flags & 64 = 0, flags & 16 <> 0, flags & 256 <> 0,

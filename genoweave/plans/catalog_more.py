@@ -69,7 +69,7 @@ def no_call_bases(spark, sf):
 
 
 @query(with_("reads") + """, p AS (SELECT a.doc_id, a.bases AS x, b.bases AS y, least(length(a.bases), length(b.bases)) AS n, a.doc_id % 2 = 1 AS neg FROM reads a JOIN reads b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, len(list_filter(range(n), lambda i: x[i + 1] = y[i + 1] OR CASE WHEN neg THEN y[i + 1] = 'G' AND x[i + 1] = 'A' ELSE y[i + 1] = 'C' AND x[i + 1] = 'T' END)) AS equal FROM p""")
+SELECT doc_id, len(list_filter(list_zip(string_split(x[1:n], ''), string_split(y[1:n], '')), lambda b: b[1] = b[2] OR CASE WHEN neg THEN b[2] = 'G' AND b[1] = 'A' ELSE b[2] = 'C' AND b[1] = 'T' END)) AS equal FROM p""")
 def bisulfite_equal_count(spark, sf):
     a = ad.reads(spark, sf).select("doc_id", "bases")
     pairs = a.join(a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bases").alias("other")), "doc_id")
@@ -80,8 +80,8 @@ def bisulfite_equal_count(spark, sf):
 
 
 @query(with_("reads") + """, p AS (SELECT a.doc_id, a.bases AS x, b.bases AS y, least(length(a.bases), length(b.bases)) AS n FROM reads a JOIN reads b ON b.doc_id = a.doc_id + 1),
- c AS (SELECT doc_id, n, i, y[i] AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before
-   FROM (SELECT doc_id, n, x, y, unnest(range(1, n + 1)) AS i FROM p) WHERE x[i] <> y[i]),
+ c AS (SELECT doc_id, n, i, b, lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before
+   FROM (SELECT doc_id, n, unnest(range(1, n + 1)) AS i, unnest(string_split(x[1:n], '')) AS a, unnest(string_split(y[1:n], '')) AS b FROM p WHERE n > 0) WHERE a <> b),
  m AS (SELECT doc_id, string_agg(CAST(i - before - 1 AS VARCHAR) || b, '' ORDER BY i) AS t, max(i) AS last, count(*) AS nm FROM c GROUP BY doc_id)
 SELECT p.doc_id AS doc_id, md5(coalesce(t, '') || CAST(n - coalesce(last, 0) AS VARCHAR)) AS md_md5, coalesce(nm, 0) AS nm FROM p LEFT JOIN m ON p.doc_id = m.doc_id""")
 def md_nm(spark, sf):
@@ -115,8 +115,8 @@ def order_check(spark, sf):
     return ix.out_of_order(rows, "ord", "contig", "start", ["chunk"]).select("event_id")
 
 
-@query(with_("reads") + """, s AS (SELECT doc_id, bases, unnest(range(1, length(bases) + 1)) AS i FROM reads)
-SELECT CASE WHEN i > 1 THEN bases[i - 1] ELSE '' END AS prev, bases[i] AS sym, count(*) AS n FROM s GROUP BY ALL""")
+@query(with_("reads") + """, s AS (SELECT list_prepend('', string_split(bases, '')) AS prevs, string_split(bases, '') AS syms FROM reads WHERE bases <> '')
+SELECT p.a AS prev, p.b AS sym, count(*) AS n FROM (SELECT unnest(list_transform(list_zip(prevs[1:len(syms)], syms), lambda z: {'a': z[1], 'b': z[2]})) AS p FROM s) GROUP BY ALL""")
 def symbol_frequencies(spark, sf):
     return ix.symbol_pairs(ad.reads(spark, sf), "bases")
 
