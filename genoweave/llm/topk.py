@@ -9,24 +9,32 @@ bounds hold for each vector: what it has, and that plus the impacts still open.
 Processing stops once the vectors that can still be among the k highest are few;
 exactly these are scored in full, so the result never depends on where it stops.
 
+Before any posting is read, the k-th score of the longest vectors is a threshold
+that the bounds are held against; segments are then read in ``STEPS`` portions,
+with a look at the bounds after each.
+
 Queries come in blocks of at most ``QUERIES`` rows; ``QUERY_ROUND`` blocks at a
-time (a bounded size) are broadcast against all vector blocks.
+time (a bounded size) are broadcast against all vector blocks. Each round is a job
+that appends to one table, so no plan grows with the number of queries.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, table
+from .common import materialize, shared_dir, table
 
 BLOCK = 8192
 QUERIES = 256
 QUERY_ROUND = 16
 LEVELS = 32
+STEPS = 16
+SEEDS = 256  # longest vectors that give the first threshold
 PACKED = "dim int, ids binary, vectors binary"
 
 
@@ -69,8 +77,10 @@ class ImpactIndex:
         self.ids, self.x = ids, vectors
         self.n, self.dim = vectors.shape
         self.peak = int(np.abs(vectors).max(initial=0))
+        self.read = self.postings = 0  # by all searches, and what they could have read
         if not self.dim:
             return
+        self.longest = np.argsort(-np.square(vectors.astype(float)).sum(1), kind="stable")[:SEEDS]
         self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int64)
         self.value = np.take_along_axis(vectors.T, self.order, 1)
         low, high = self.value[:, :1], self.value[:, -1:]
@@ -112,8 +122,13 @@ class ImpactIndex:
         impact, ends = self._segments(q)
         flat = np.sort(impact, axis=None)[::-1]
         done, acc = np.zeros(self.dim, np.int64), np.zeros(self.n)
-        for share in (0.25, 0.5, 0.75, 1.0):
-            limit = flat[min(flat.size - 1, int(share * flat.size))] if share < 1 else -1
+        # accumulators begin at what a vector has at least: every component at its dimension's worst end
+        least = float(np.where(q > 0, q * self.value[:, 0], q * self.value[:, -1]).sum())
+        seeds = self.longest[others[self.longest]]
+        floor = np.partition(self.x[seeds] @ q, -k)[-k] - least if seeds.size >= k else -np.inf
+        possible = np.flatnonzero(others)
+        for step in range(1, STEPS + 1):
+            limit = flat[min(flat.size - 1, step * flat.size // STEPS)] if step < STEPS else -1
             segments = (impact > limit).sum(1)
             upto = np.where(segments > 0, np.take_along_axis(ends, np.maximum(segments - 1, 0)[:, None], 1)[:, 0], 0)
             ids, gains = [], []
@@ -125,13 +140,15 @@ class ImpactIndex:
                 gains.append(q[d] * (self.value[d, part] - base))
             if ids:
                 acc += np.bincount(np.concatenate(ids), np.concatenate(gains), self.n)
+            self.read += int(np.maximum(upto - done, 0).sum())
             done = np.maximum(done, upto)
             left = np.where(segments < impact.shape[1], np.take_along_axis(impact, np.minimum(segments, impact.shape[1] - 1)[:, None], 1)[:, 0], 0).sum()
             have = np.where(others, acc, -1.0)
-            kth = np.partition(have, -k)[-k]
+            kth = max(floor, np.partition(have, -k)[-k])
             possible = np.flatnonzero(others & (acc + left >= kth))
             if possible.size <= max(8 * k, self.n // 16):
                 break
+        self.postings += self.n * self.dim
         return possible
 
 
@@ -172,17 +189,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
     packed_queries = wanted.repartition(n_blocks, key).mapInArrow(_pack(QUERIES), PACKED)
     packed_queries = materialize(packed_queries.select(
         "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"),
-        F.pmod(F.xxhash64("ids"), F.lit(rounds)).alias("round")), "topk-query-blocks")
+        F.pmod(F.xxhash64("ids"), F.lit(rounds)).cast("int").alias("round")), "topk-query-blocks")
     blocks = vectors.select(key, vector).filter(F.col(key).isNotNull()).mapInArrow(_pack(BLOCK), PACKED)
     if rounds > 1:
         blocks = materialize(blocks, "topk-blocks")
-    found = None
+    path = f"{shared_dir(spark)}/topk-found-{uuid.uuid4().hex}"
+    schema = "query_id long, vec_id long, score long"
     for r in range(rounds):
         some = packed_queries.filter(F.col("round") == r).drop("round")
         # at most about QUERY_ROUND * QUERIES vectors
-        part = blocks.join(F.broadcast(some), "dim").select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(
-            _search(k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        found = blocks.join(F.broadcast(some), "dim").select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(_search(k), schema)
+        if rounds > 1:
+            found.write.mode("append").parquet(path)
+    if rounds > 1:
+        found = spark.read.schema(schema).parquet(path)
     ranked = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -64,5 +64,6 @@ def test_index_is_exact_and_stops_early():
         order = np.lexsort((np.arange(5000), -(base @ q)))[:10]
         assert ids.tolist() == order.tolist() and scores.tolist() == (base @ q)[order].tolist()
         assert index._possible(q, np.ones(5000, bool), 10).size < 5000
+    assert 0 < index.read < 0.7 * index.postings
     big = ImpactIndex(np.arange(60), rng.integers(-(1 << 40), 1 << 40, (60, 3)))
     assert big.search(np.array([1 << 40] * 3), 0, 5)[1][0] == max(int(sum(int(v) << 40 for v in row)) for row in big.x[1:])
