@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests in one process) a temporary folder is used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and
+    all tasks run in this process (tests) a temporary folder is used.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="genoweave-"))
     return sc.getCheckpointDir()
 

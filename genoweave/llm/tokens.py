@@ -16,7 +16,7 @@ import numpy as np
 CACHE_WORDS = 700_000
 LONG_PART = 200  # characters; longer parts are not kept
 BATCH_WORDS = 100  # new parts encoded in one call
-BLOCK_TEXTS = 256  # texts whose new parts are encoded together
+BLOCK_TEXTS = 512  # texts whose new parts are encoded together
 MARKS = ".,;:!?"  # that end a run of letters
 GLUE = "\x01"  # before a part that had no space before it
 

@@ -28,7 +28,7 @@ from .tokens import encoder, tokenizer_path
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
-BATCH_TEXTS = 512  # encoded in one call
+BATCH_TEXTS = 2048  # encoded in one call
 WORD = 512  # bits per rank block
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 

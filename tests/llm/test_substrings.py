@@ -79,3 +79,12 @@ def test_edges(spark, make_docs):
     twice = make_docs([(1, line), (1, line), (1, "q " * 20), (2, line + " y"), (None, line), (None, line)])
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in op4_de_bruijn_substrings(spark, twice).collect())
     assert got == [(-1, 13, 0), (-1, 13, 0), (1, 13, 0), (1, 13, 0), (1, 20, 0), (2, 14, 13)]
+
+
+def test_other_columns(spark):
+    from genoweave.llm.substrings import remove_repeats
+
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text, "a", 1, 2), (2, text, "b", 3, None), (3, None, None, None, None)], "id long, text string, doc string, places int, path long")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(docs, key="id").collect()}
+    assert got == {1: (20, 0, text), 2: (20, 20, ""), 3: (0, 0, "")}

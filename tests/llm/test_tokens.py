@@ -140,3 +140,11 @@ def test_pack_keeps_clashing_columns(spark):
     assert got.count() == 40 and len({(r.sequence_id, r.offset) for r in got.collect()}) == 40
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 11)], "k int, n int"), "n", ["k"], 10)
+
+
+def test_other_columns(spark):
+    from genoweave.llm.wavelet import read_documents, write_shards
+
+    docs = spark.createDataFrame([(1, "a b", "x", 5), (2, None, "y", 6)], "doc_id long, text string, payload string, seq int")
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in read_documents(write_shards(docs, tokenizer_path("byte_bpe_50k.json"), 2)).collect())
+    assert got == [(1, 0, 3), (2, 3, 1)]
