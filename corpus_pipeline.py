@@ -22,12 +22,15 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters, mostly of one language."""
+    """Documents whose text has letters, mostly of one language; a missing ``lang`` becomes the predicted one."""
     ship_code(spark)
     model = train(docs.filter(crc_mod("doc_id", 3) != 1))
     clash = {c: free_name([*docs.columns, "lang_pred", "score"], f"own_{c}") for c in docs.columns if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(clash), model)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).drop("lang_pred", "score")
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    if dict(docs.dtypes).get("lang") == "string":
+        kept = kept.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    kept = kept.drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
