@@ -6,8 +6,9 @@ into segments of equal quantised value. For a query a segment's impact is the
 largest contribution it can make above the dimension's smallest one; segments
 are processed by descending impact over all dimensions. Between rounds two
 bounds hold for each vector: what it has, and that plus the impacts still open.
-Processing stops once the vectors that can still be among the k highest are few;
-exactly these are scored in full, so the result never depends on where it stops.
+Processing stops once some vectors are proved out and scoring all others in full
+costs less than the postings left; exactly these are scored in full, so the result
+never depends on where it stops.
 
 Before any posting is read, the k-th score of the longest vectors is a threshold
 that the bounds are held against; segments are then read in ``STEPS`` portions,
@@ -33,7 +34,8 @@ BLOCK = 8192
 QUERIES = 256
 QUERY_ROUND = 16
 LEVELS = 32
-STEPS = 16
+STEPS = 8
+READ_COST = 8  # components scored in full at the cost of one posting
 SEEDS = 256  # longest vectors that give the first threshold
 PACKED = "dim int, ids binary, vectors binary"
 
@@ -84,6 +86,7 @@ class ImpactIndex:
         self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int64)
         self.value = np.take_along_axis(vectors.T, self.order, 1)
         low, high = self.value[:, :1], self.value[:, -1:]
+        self.above, self.below = (self.value - low).astype(np.float64), (self.value - high).astype(np.float64)
         step = np.maximum((high - low) // LEVELS + 1, 1)
         level = (self.value - low) // step
         # starts[d, l]: first posting of dimension d with level >= l
@@ -127,6 +130,7 @@ class ImpactIndex:
         seeds = self.longest[others[self.longest]]
         floor = np.partition(self.x[seeds] @ q, -k)[-k] - least if seeds.size >= k else -np.inf
         possible = np.flatnonzero(others)
+        candidates = possible.size
         for step in range(1, STEPS + 1):
             limit = flat[min(flat.size - 1, step * flat.size // STEPS)] if step < STEPS else -1
             segments = (impact > limit).sum(1)
@@ -135,9 +139,8 @@ class ImpactIndex:
             for d in np.flatnonzero(upto > done):
                 a, b = done[d], upto[d]
                 part = slice(self.n - b, self.n - a) if q[d] > 0 else slice(a, b)
-                base = self.value[d, 0] if q[d] > 0 else self.value[d, -1]
                 ids.append(self.order[d, part])
-                gains.append(q[d] * (self.value[d, part] - base))
+                gains.append(float(q[d]) * (self.above if q[d] > 0 else self.below)[d, part])
             if ids:
                 acc += np.bincount(np.concatenate(ids), np.concatenate(gains), self.n)
             self.read += int(np.maximum(upto - done, 0).sum())
@@ -146,7 +149,8 @@ class ImpactIndex:
             have = np.where(others, acc, -1.0)
             kth = max(floor, np.partition(have, -k)[-k])
             possible = np.flatnonzero(others & (acc + left >= kth))
-            if possible.size <= max(8 * k, self.n // 16):
+            left = self.n * self.dim - int(done.sum())
+            if possible.size < candidates and possible.size * self.dim <= READ_COST * left:
                 break
         self.postings += self.n * self.dim
         return possible
