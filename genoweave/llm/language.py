@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,8 +23,8 @@ from .common import crc_mod, free_name, table
 #: Documents per language used for training, about (chosen by hash over all labelled rows).
 TRAIN_DOCS = 2000
 SWITCH = 8.0  # cost of a change of language, in nats
-CACHE_WORDS = 400_000
-TEXTS = 2000  # texts labelled together; bounds what a worker holds besides a batch
+CACHE_WORDS = 300_000
+TEXTS = 1000  # texts labelled together; bounds what a worker holds besides a batch
 OTHER = -30.0  # emission of a language whose scripts a word doesn't fit
 
 #: First and last code points of scripts.
@@ -240,14 +239,15 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", spans: boo
     df = df.drop("lang_pred", "score", *["lang_spans"] * spans)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
-    @F.pandas_udf(added)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))]
+
+    @F.arrow_udf(added)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            parts = [labeller.label(batch.iloc[at : at + TEXTS].tolist(), spans) for at in range(0, len(batch), TEXTS)]
-            langs, scores, found = ([x for part in parts for x in part[k]] for k in range(3))
-            out = {"lang_pred": langs, "score": scores}
-            yield pd.DataFrame(out | ({"lang_spans": found} if spans else {}))
+            parts = [labeller.label(batch.slice(at, TEXTS).to_pylist(), spans) for at in range(0, len(batch), TEXTS)]
+            columns = [pa.array([x for part in parts for x in part[k]], kinds[k]) for k in range(2 + spans)]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "lang_spans"][: 2 + spans])
 
     got = free_name(df.columns, "language_result")
     names = ["lang_pred", "score", *["lang_spans"] * spans]
