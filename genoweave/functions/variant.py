@@ -117,13 +117,13 @@ def vcf_double(text: Column) -> Column:
 
 def vcf_double_text(value: Column) -> Column:
     """Two decimals from 1 on, three from a hundredth on, else an exponent (negative values too); next to 0 it is 0.00."""
-    return (F.when(value >= 1, F.format_string("%.2f", value)).when(value >= 0.01, F.format_string("%.3f", value))
+    return (F.when(value.isNull(), F.lit(None)).when(value >= 1, F.format_string("%.2f", value)).when(value >= 0.01, F.format_string("%.3f", value))
             .when(F.abs(value) >= 1e-20, F.format_string("%.3e", value)).otherwise("0.00"))
 
 
 def quality_text(value: Column) -> Column:
-    """Two decimals, left off if both are 0."""
-    return F.regexp_replace(F.format_string("%.2f", value), r"\.00$", "")
+    """Two decimals, left off if both are 0; null stays null."""
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.2f", value), r"\.00$", ""))
 
 
 def vcf_list_text(values: Column) -> Column:
