@@ -255,7 +255,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", spans: boo
 
 
 def op7_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    """The language of every document, learned from those whose crc32(doc_id) mod 3 is not 1.
+
+    One row per row, repeated ones too; equal texts get equal results. Null
+    texts and texts without a letter are ``und``. Of languages with equally many
+    letters the first by name is taken. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     model = train(docs.filter(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -300,5 +300,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
 
 def op8_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents at similarity 0.85."""
+    """Near-duplicate classes of all documents at similarity 0.85.
+
+    One row per row; repeated rows are one class and are all ``kept`` if theirs
+    is its smallest key. Null and empty texts are classes of their own.
+    """
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import free_name, materialize, shuffle_partitions, table
-from .tokens import encoder, tokenizer_path
+from .tokens import CACHE_WORDS, encoder, tokenizer_path
 
 CAPACITY = 4096
+BATCH_TEXTS = 1024  # encoded in one call
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -135,20 +136,24 @@ def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPAC
     return ranked.select(*pieces.columns, f"{spot}.sequence_id", f"{spot}.offset")
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every document's ids (then ``end_id``), cut only beyond ``capacity``; null text is empty."""
+def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of every document's ids (then ``end_id``), cut only beyond ``capacity``; null text is empty.
+
+    ``cache_words`` bounds what a worker remembers of encoded words.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, cache_words=cache_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            texts = batch.column(1).to_pylist()
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    for col, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece))):
-                        col.append(v)
+            for first in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(first, BATCH_TEXTS)
+                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        for col, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece))):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])

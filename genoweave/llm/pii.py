@@ -172,7 +172,10 @@ def _written(spans: Column) -> Column:
 
 
 def detect(df: DataFrame, text: str = "text", prefix: str = "pii_", threshold: float = 0.5) -> DataFrame:
-    """Add ``<prefix><kind>`` arrays for every kind, and ``<prefix>base`` and ``<prefix>spans`` with all in order."""
+    """Add ``<prefix><kind>`` arrays for every kind, and ``<prefix>base`` and ``<prefix>spans`` with all in order.
+
+    Columns with these names are replaced, all others pass through.
+    """
     names = [k.name for k in BASE + ADDED]
     out = df
     for kind in BASE + ADDED:
@@ -203,7 +206,11 @@ def redact(df: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame
 
 
 def op10_pattern_checksum_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of personal data in every document (null text: no spans)."""
+    """Counts and spans of personal data in every document.
+
+    One row per row, repeated ones too. Null and empty texts have no spans; of
+    spans with one start the kinds' order decides.
+    """
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id",

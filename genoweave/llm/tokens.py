@@ -26,7 +26,7 @@ ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr
 #: With one of these in a text, a space can stand inside a run of white space, so spaces are not safe cuts.
 RUNS = ("  ", "\n \n", "\t", "\r", "\f", "\v")
 LINE_RUNS = ("\n\n", "\n ", " \n")
-_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
+_encoders: dict[tuple, "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,7 +38,8 @@ def tokenizer_path(name: str) -> str:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, specials_as_text: bool = False) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False, cache_words: int = CACHE_WORDS) -> None:
+        self.cache_words = cache_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -152,13 +153,15 @@ class WordEncoder:
                         got[k] = ready[p]
                     out[i] += b"".join(got)
                 self.young |= ready if max(map(len, ready)) <= LONG_PART else {p: x for p, x in ready.items() if len(p) <= LONG_PART}
-                if len(self.young) > CACHE_WORDS:
+                if len(self.young) > self.cache_words:
                     self.old, self.young = self.young, {}
         return out
 
 
-def encoder(path: str, specials_as_text: bool = False) -> WordEncoder:
-    """This process's encoder for a tokenizer file; it lives as long as the worker."""
-    if (path, specials_as_text) not in _encoders:
-        _encoders[path, specials_as_text] = WordEncoder(path, specials_as_text)
-    return _encoders[path, specials_as_text]
+def encoder(path: str, specials_as_text: bool = False, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """This process's encoder for a tokenizer file; it lives as long as the worker, one at a time."""
+    key = path, specials_as_text, cache_words
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
