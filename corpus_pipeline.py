@@ -19,6 +19,8 @@ from genoweave.llm.tokens import tokenizer_path
 
 #: A document stays if it has a language and at least this share of its letters is in it.
 LEAST_LANGUAGE_SHARE = 0.5
+#: Encoded words that a worker remembers in stage packing; workers of other stages still live beside it.
+CACHE_WORDS = 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 4096 tokens."""
     ship_code(spark)
-    pieces = materialize(token_pieces(docs, tokenizer_path("word_bpe_49k.json")), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer_path("word_bpe_49k.json"), cache_words=CACHE_WORDS), "pieces")
     return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"])
 
 
