@@ -60,8 +60,9 @@ def out_of_order(df: DataFrame, order: str, contig: str, start: str, keys: list[
 def symbol_pairs(df: DataFrame, text: str) -> DataFrame:
     """Counts of symbol pairs (previous, symbol; the first of a text has an empty previous)."""
     symbols = F.filter(F.split(text, ""), lambda c: c != "")
-    pairs = F.transform(symbols, lambda c, i: F.struct(F.when(i > 0, F.element_at(symbols, i)).otherwise("").alias("prev"), c.alias("sym")))
-    return df.select(F.explode(pairs).alias("p")).groupBy("p.prev", "p.sym").agg(F.count(F.lit(1)).alias("n"))
+    before = F.concat(F.array(F.lit("")), symbols)  # one longer: the pair without a symbol is left out
+    pairs = F.zip_with(symbols, before, lambda c, p: F.struct(p.alias("prev"), c.alias("sym")))
+    return df.select(F.explode(pairs).alias("p")).filter("p.sym is not null").groupBy("p.prev", "p.sym").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_sets(df: DataFrame, tags: str, ordinal: str) -> DataFrame:
