@@ -72,6 +72,16 @@ def free_name(df_columns, base: str) -> str:
     return base
 
 
+def ascii_words(letters: bytes):
+    """A function from a UTF-8 text (None: empty) to its words in lower case (A-Z only): runs of ``letters`` and of bytes outside ASCII."""
+    table_ = bytes(c if c in letters or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
+
+    def split(raw: bytes | None) -> list[bytes]:
+        return raw.translate(table_).split() if raw else []
+
+    return split
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's decimal text, modulo ``modulus`` (null: remainder of crc32 of '')."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -87,3 +87,45 @@ WITH f AS (
 SELECT d.doc_id AS doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
   sha256(coalesce(t, '')) AS base_sha256, coalesce(t, '') AS spans FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(h), 2),
+    lambda i: [CAST('0x' || substr(h, i, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), CAST(4294967295 AS BIGINT))"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
+f AS (SELECT doc_id, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS s FROM f GROUP BY w),
+b AS (SELECT w, count(*) AS t FROM (SELECT unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS w FROM benchmark) GROUP BY w),
+u AS (SELECT w, coalesce(s, 0) AS s, coalesce(t, 0) AS t, {_CRC32} % 10000 AS bucket FROM (SELECT coalesce(c.w, b.w) AS w, s, t, hex(encode(coalesce(c.w, b.w))) AS h FROM c FULL JOIN b ON c.w = b.w)),
+k AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM u GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM k),
+p AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN u ON f.w = u.w JOIN g ON u.bucket = g.bucket GROUP BY doc_id),
+s AS (SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+  CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN p ON d.doc_id = p.doc_id),
+r AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM s),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT r.doc_id AS doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM r LEFT JOIN o ON r.doc_id = o.doc_id
+"""
+
+_TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, {_TERM}) AS ws FROM documents),
+f AS (SELECT rn, lang, source, unnest(ws) AS w FROM (SELECT *, row_number() OVER () AS rn FROM d)),
+kept AS (SELECT lang, w FROM f GROUP BY lang, w HAVING count(DISTINCT rn) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, w, count(*) AS n FROM f JOIN kept USING (lang, w) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT g.lang AS lang, g.source AS source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT t.lang AS lang, t.source AS source, kept.w AS w, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM t JOIN kept ON t.lang = kept.lang JOIN v ON v.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.w = kept.w),
+q AS (SELECT l.lang AS lang, l.w AS w, 1 + (CAST(1000000000 AS HUGEINT) * (l.n + 5)) // (total + 5 * v) AS q
+  FROM (SELECT lang, w, sum(n) AS n FROM c GROUP BY ALL) l JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) s ON s.lang = l.lang JOIN v ON v.lang = l.lang),
+pair AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(CAST(sum(abs(x.p - y.p)) AS BIGINT), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND x.w = y.w GROUP BY ALL),
+term AS (SELECT p.lang AS lang, source, 'term' AS part, p.w AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q ON p.lang = q.lang AND p.w = q.w WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from . import oracles
 from .decontam import op6_pigeonhole_decontamination
+from .divergence import op13_source_divergence
+from .html import op12_site_style_tree
 from .language import op7_script_viterbi_language
 from .neardup import op8_superminhash_neardup
 from .packing import op1_min_bin_slack_packing
 from .pii import op10_pattern_checksum_context
 from .ppm import op2_ppm_scores
+from .resampling import op11_importance_resampling
 from .sharding import op9_prefix_sum_shards
 from .topk import op3_impact_ordered_topk
 from .substrings import op4_de_bruijn_substrings
@@ -27,6 +30,9 @@ def queries():
         "op8_superminhash_neardup": op8_superminhash_neardup,
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
         "op10_pattern_checksum_context": op10_pattern_checksum_context,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_site_style_tree": op12_site_style_tree,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -38,4 +44,6 @@ def oracle_sql():
         "op8_superminhash_neardup": oracles.OP8,
         "op9_prefix_sum_shards": oracles.OP9,
         "op10_pattern_checksum_context": oracles.OP10,
+        "op11_importance_resampling": oracles.OP11,
+        "op13_source_divergence": oracles.OP13,
     }
