@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import ascii_words, materialize, table
@@ -33,7 +34,9 @@ SCALE = 1_000_000_000
 #: Kept terms per chunk of the dictionary, and the number of chunks from which chunks grow instead.
 CHUNK, MOST_CHUNKS = 4096, 4096
 SOURCE_BLOCK = 128
-TABLE_ROWS = 200_000
+#: Distinct (language, source, term) that a task counts before it hands them on; a count holds documents above DOCS_AT and occurrences below.
+TABLE_ROWS = 600_000
+DOCS_AT = 1 << 40
 split_terms = ascii_words(b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,22 +44,25 @@ def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     """(lang, source, term, n, docs) counted by task: occurrences and documents."""
 
     def rows(counted: dict) -> Iterator[pa.RecordBatch]:
-        for (lang_, source_), (terms, seen) in counted.items():
+        for (lang_, source_), terms in counted.items():
             k = len(terms)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang_] * k, pa.string()), pa.array([source_] * k, pa.string()), pa.array(terms.keys(), pa.binary()),
-                 pa.array(terms.values(), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], ["lang", "source", "term", "n", "docs"])
+            both = pa.array(terms.values(), pa.int64())
+            names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(k, np.int32)), pa.array([x], pa.string())).cast(pa.string()) for x in (lang_, source_)]
+            docs_ = pc.shift_right(both, 40)
+            n = pc.bit_wise_and(both, DOCS_AT - 1)
+            yield pa.RecordBatch.from_arrays([*names, pa.array(terms.keys(), pa.binary()), n, docs_], ["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict = defaultdict(lambda: (Counter(), Counter()))
+        counted: dict = defaultdict(Counter)
         held = 0
         for batch in batches:
             for lang_, source_, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                terms, seen = counted[lang_, source_]
+                terms = counted[lang_, source_]
                 before = len(terms)
-                own = Counter(split_terms(value.as_py()))
-                terms.update(own)
-                seen.update(own.keys())
+                found = split_terms(value.as_py())
+                terms.update(found)
+                for term in set(found):
+                    terms[term] += DOCS_AT
                 held += len(terms) - before
                 if held >= TABLE_ROWS:
                     yield from rows(counted)
@@ -77,7 +83,7 @@ def shares(counts: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray
 
 
 def _chunk(key: pd.Series, dictionary: pd.DataFrame, counts: pd.DataFrame, top: int) -> pd.DataFrame:
-    """One chunk of a language and two blocks of its sources: differences of all pairs between them, foremost terms of the first block."""
+    """One chunk of a language and two blocks of its sources: differences of each source to all of the other block; the foremost terms where both are one block."""
     entry = dictionary.iloc[0]
     terms = np.array(list(entry["terms"]), dtype=object)
     size = len(terms)
@@ -95,21 +101,19 @@ def _chunk(key: pd.Series, dictionary: pd.DataFrame, counts: pd.DataFrame, top:
     vectors = sum(np.bincount(flat, part, cells).astype(np.int64) << shift for part, shift in ((n & 0xFFFFFF, 0), (n >> 24, 24))).reshape(len(names), size)
     p = shares(vectors, totals[:, None], entry["kept"])
     out = []
-    for i, name in enumerate(left):
-        others = range(len(left)) if same else range(len(left), len(names))
-        gaps = np.abs(p[i] - p[list(others)]).sum(axis=1) if len(others) else np.zeros(0, np.int64)
-        pairs = [(name, names[j], int(g)) for j, g in zip(others, gaps) if j != i]
-        out += [("pair", a.encode(), b, g) for a, b, g in ((x, y, z) for x, y, z in pairs)]
-        if not same:
-            out += [("pair", b.encode(), a, g) for a, b, g in pairs]
+    for i, name in enumerate(left if same else names):
+        # each source of one block against all of the other
+        others = slice(0, len(left)) if same else slice(len(left), len(names)) if i < len(left) else slice(0, len(left))
+        facing = entry["a"] if same or i >= len(left) else entry["b"]
+        out.append((name, int(facing), np.abs(p[i] - p[others]).sum(axis=1), None, 0))
         if same and size:
             everywhere = np.zeros(size, np.int64)
             everywhere[ids] = counts["in_lang"].to_numpy(np.int64)
             gain = p[i] - shares(everywhere, int(entry["lang_n"]), entry["kept"])
             hit = np.flatnonzero((vectors[i] > 0) & (gain > 0))
             hit = hit[np.lexsort((hit, -gain[hit]))][:top]
-            out += [("term", terms[j], name, int(gain[j])) for j in hit]
-    frame = pd.DataFrame(out, columns=["part", "item", "source", "value"])
+            out += [(name, 0, None, terms[j], int(gain[j])) for j in hit]
+    frame = pd.DataFrame(out, columns=["source", "facing", "gaps", "term", "value"])
     frame.insert(0, "lang", entry["lang"])
     return frame
 
@@ -117,12 +121,11 @@ def _chunk(key: pd.Series, dictionary: pd.DataFrame, counts: pd.DataFrame, top:
 def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): for each source of a language the difference to every other one, and its ``top`` foremost terms."""
     spark = docs.sparkSession
-    # one exchange by (lang, term) serves both the sums and the total over sources
+    # one exchange by (lang, term) serves the totals over sources, the choice of terms and the sums of what stays
     partial = count_terms(docs, text, lang, source).repartition("lang", "term")
-    summed = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    over = W.partitionBy("lang", "term")
-    kept = summed.withColumn("in_docs", F.sum("docs").over(over)).withColumn("in_lang", F.sum("n").over(over)).filter(F.col("in_docs") >= least_docs)
-    kept = materialize(kept.select("lang", "source", "term", "n", "in_lang"), "kept-terms")
+    total = partial.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("in_lang")).filter(F.col("in_docs") >= least_docs)
+    chosen = partial.join(total.hint("shuffle_hash"), ["lang", "term"])
+    kept = materialize(chosen.groupBy("lang", "source", "term", "in_lang").agg(F.sum("n").alias("n")), "kept-terms")
 
     distinct = kept.groupBy("lang", "term").agg(F.first("in_lang").alias("in_lang"))
     n_terms = distinct.count()
@@ -162,13 +165,18 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "tex
     def share(key, entry: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         return _chunk(key, entry, counts, top)
 
-    parts = work.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(share, "lang string, part string, item binary, source string, value long")
+    parts = work.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(share, "lang string, source string, facing int, gaps array<long>, term binary, value long")
     parts = materialize(parts, "parts")
-    item = F.col("item").cast("string").alias("item")
-    pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # a chunk's differences are one array per source and block of others; at most MOST_CHUNKS arrays (and one more) meet
+    faced = parts.filter("term is null").groupBy("lang", "source", "facing").agg(F.collect_list("gaps").alias("g"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    whole = faced.select("lang", "source", F.col("facing").alias("block"), F.aggregate(F.slice("g", 2, MOST_CHUNKS + 1), F.col("g")[0], add).alias("gaps"))
+    named = whole.join(blocks.select("lang", "block", "names"), ["lang", "block"]).select("lang", "source", F.explode(F.arrays_zip("names", "gaps")).alias("x"))
+    pairs = named.select("lang", "source", F.lit("pair").alias("part"), F.col("x.names").cast("binary").alias("item"), F.col("x.gaps").alias("value")).filter(F.col("source").cast("binary") != F.col("item"))
+    terms = parts.filter("term is not null").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     ranked = W.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    both = pairs.unionByName(parts.filter("part = 'term'")).withColumn("rank", F.row_number().over(ranked))
-    return both.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", item, "value", "rank")
+    both = pairs.unionByName(terms).withColumn("rank", F.row_number().over(ranked))
+    return both.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
