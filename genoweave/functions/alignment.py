@@ -37,12 +37,12 @@ def render_cigar(cigar: Column) -> Column:
 
 
 def parse_cigar(text: Column) -> Column:
-    """Elements of a text form (``*`` is empty); null if it is malformed."""
+    """Elements of a text form (``*`` is empty); null if it is malformed or a length is beyond an int."""
     part = r"([0-9]+)([MIDNSHP=X])"
     lengths = F.regexp_extract_all(text, F.lit(part), F.lit(1))
     ops = F.regexp_extract_all(text, F.lit(part), F.lit(2))
-    elements = F.zip_with(lengths, ops, lambda n, o: F.struct(n.cast("int").alias("len"), o.alias("op")))
-    return F.when(text == "*", F.array().cast(CIGAR)).when(text.rlike(f"^(?:{part})+$"), elements)
+    elements = F.zip_with(lengths, ops, lambda n, o: F.struct(n.try_cast("int").alias("len"), o.alias("op")))
+    return F.when(text == "*", F.array().cast(CIGAR)).when(text.rlike(f"^(?:{part})+$") & ~F.exists(lengths, lambda n: n.try_cast("int").isNull()), elements)
 
 
 def alignment_blocks(pos: Column, cigar: Column) -> Column:

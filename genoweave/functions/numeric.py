@@ -13,8 +13,10 @@ from pyspark.sql.types import DoubleType
 
 
 def round_half_up(x: Column) -> Column:
-    """Ties go up on the exact value; NaN gives 0."""
-    return F.when(F.isnan(x), 0).otherwise(F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)).cast("long")
+    """Ties go up on the exact value; NaN gives 0; what is beyond a long gives the nearest one."""
+    inside = F.when(F.abs(x) < 2.0**62, x).otherwise(0.0)
+    rounded = F.floor(inside) + F.when(inside - F.floor(inside) >= 0.5, 1).otherwise(0)
+    return (F.when(F.isnan(x), 0).when(x >= 2.0**63, (1 << 63) - 1).when(x < -(2.0**63), F.expr("-9223372036854775807L - 1L")).when(F.abs(x) >= 2.0**62, x.try_cast("long")).otherwise(rounded)).cast("long")
 
 
 def integer_tag_type(x: Column) -> Column:

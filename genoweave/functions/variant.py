@@ -26,7 +26,7 @@ def is_missing(text: Column) -> Column:
 def genotype_alleles(gt: Column) -> Column:
     """Allele indexes of a GT field (``.`` is null); empty tokens are skipped."""
     tokens = F.filter(F.split(gt, r"[/|\\]"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t != ".", t.cast("int")))
+    return F.transform(tokens, lambda t: F.when(t != ".", t.try_cast("int")))
 
 
 def is_phased(gt: Column) -> Column:
@@ -75,7 +75,7 @@ def genotype_block(format_: Column, sample: Column, n_alleles: Column) -> Column
     keys, values = F.split(format_, ":"), F.split(sample, ":")
     field = lambda key: genotype_field(format_, sample, key)
     ints = lambda key: _all_ints(F.split(field(key), ","))
-    dp, gq = field("DP"), F.floor(field("GQ").try_cast("double") + 0.5).cast("int")
+    dp, gq = field("DP"), F.floor(field("GQ").try_cast("double") + 0.5).try_cast("int")
     gt_at = F.array_position(keys, "GT")
     tokens = F.when(gt_at == 1, F.filter(F.split(values[0], r"[/|\\]"), lambda t: t != ""))
     alleles = F.transform(tokens, lambda t: F.when(t != ".", t.try_cast("int")))

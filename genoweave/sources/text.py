@@ -137,16 +137,10 @@ def render_vcf() -> Column:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads (name, bases, quality_header, quality) of FASTQ files whose records are four lines.
+    """Reads of FASTQ files: (file, read, name, bases, quality, error), see ``files.fastq_reads``."""
+    from .files import fastq_reads, numbered_lines
 
-    Records part before an ``@`` that starts a line two lines above a ``+``, so
-    a quality line that begins with ``@`` is no border.
-    """
-    whole = spark.read.text(path, wholetext=True)
-    record = r"(?m)^@([^\n]*)\n([^\n]+)\n\+([^\n]*)\n([^\n]+)$"
-    parts = [F.regexp_extract_all("value", F.lit(record), F.lit(i)) for i in range(1, 5)]
-    rows = whole.select(F.explode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("name", "bases", "quality_header", "quality"))))).alias("r")).select("r.*")
-    return rows.withColumn("error", F.when(F.octet_length("bases") != F.octet_length("quality"), "length"))
+    return fastq_reads(numbered_lines(spark, path))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -171,32 +165,21 @@ def header_attributes(df: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def variant_header_fields(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Structured variant header lines as (kind, id, number, type, description); a quoted value may hold commas."""
+    """Structured variant header lines as (kind, id, number, type, description); a quoted value may hold commas, and quotes and backslashes behind a backslash."""
     body = df.filter(F.col("value").rlike("^##[A-Za-z]+=<.*>$"))
     inner = F.regexp_extract("value", "^##[A-Za-z]+=<(.*)>$", 1)
-    field = r'([A-Za-z0-9_]+)=("(?:[^"\\\\]|\\\\.)*"|[^,]*)'
+    field = r'([A-Za-z0-9_.]+)=("(?:[^"\\]|\\.)*"|[^,]*)'
     pairs = F.arrays_zip(F.regexp_extract_all(inner, F.lit(field), F.lit(1)).alias("k"), F.regexp_extract_all(inner, F.lit(field), F.lit(2)).alias("v"))
     last = lambda key: F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
-    plain = lambda c: F.regexp_replace(c, '^"|"$', "")
-    return body.select(*keep, F.regexp_extract("value", "^##([A-Za-z]+)=", 1).alias("kind"), last("ID").alias("id"), last("Number").alias("number"), last("Type").alias("type"), plain(last("Description")).alias("description"))
+    quoted = lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), r'\\(["\\])', "$1")).otherwise(c)
+    return body.select(*keep, F.regexp_extract("value", "^##([A-Za-z]+)=", 1).alias("kind"), last("ID").alias("id"), last("Number").alias("number"), last("Type").alias("type"), quoted(last("Description")).alias("description"))
 
 
 def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of liftover chain files: chain_id, contig, from_start, from_end (0-based half-open), to_contig, to_start, to_size, opposite, block."""
-    chains = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit("(?m)^chain [^\n]*(?:\n[0-9][^\n]*)+"), F.lit(0))).alias("c"))
-    rows = F.split("c", "\n")
-    head = F.split(rows[0], " +")
-    sizes = F.transform(F.slice(rows, 2, 1 << 30), lambda r: F.transform(F.split(F.trim(r), "[ \t]+"), lambda x: x.cast("long")))
-    zero = F.struct(head[5].cast("long").alias("f"), head[10].cast("long").alias("t"), F.array().cast("array<struct<from_start:bigint,from_end:bigint,to_start:bigint>>").alias("out"))
-
-    def step(a: Column, b: Column) -> Column:
-        size, gap_f, gap_t = b[0], F.coalesce(F.get(b, F.lit(1)), F.lit(0)), F.coalesce(F.get(b, F.lit(2)), F.lit(0))
-        block = F.array(F.struct(a["f"].alias("from_start"), (a["f"] + size).alias("from_end"), a["t"].alias("to_start")))
-        return F.struct((a["f"] + size + gap_f).alias("f"), (a["t"] + size + gap_t).alias("t"), F.concat(a["out"], block).alias("out"))
+    """Blocks of liftover chain files, see ``files.chains``; a chain that is wrong is one row with its error and no places."""
+    from .files import chains, numbered_lines
 
-    out = chains.select(head.alias("h"), F.posexplode(F.aggregate(sizes, zero, step, lambda a: a["out"])).alias("block", "b"))
-    h = lambda i: F.col("h")[i]
-    return out.select(h(12).cast("long").alias("chain_id"), h(2).alias("contig"), "b.from_start", "b.from_end", h(7).alias("to_contig"), "b.to_start", h(8).cast("long").alias("to_size"), (h(9) == "-").alias("opposite"), "block")
+    return chains(numbered_lines(spark, path))
 
 
 def bed_exons(df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -249,11 +232,13 @@ def fastq_lines(df: DataFrame, order: str, keys: list[str] = ()) -> DataFrame:
 
     Four lines are a read, whatever they hold, so nothing is lost: ``error`` is
     ``header`` without ``@``, ``separator`` without ``+``, ``length`` where bases
-    and qualities differ in length, ``truncated`` where lines are missing.
+    and qualities differ in length, ``truncated`` where lines are missing,
+    ``blank`` where one of them holds nothing but white space.
     """
     place = F.col(order) % 4
     at = lambda i: F.max(F.when(place == i, F.col("value")))
     reads = df.groupBy(*keys, F.floor(F.col(order) / 4).alias("read")).agg(*(at(i).alias(f"l{i}") for i in range(4)), F.count(F.lit(1)).alias("lines"))
     error = (F.when(F.col("lines") < 4, "truncated").when(~F.col("l0").startswith("@"), "header").when(~F.col("l2").startswith("+"), "separator")
+             .when((F.trim("l1") == "") | (F.trim("l3") == ""), "blank")
              .when(F.octet_length("l1") != F.octet_length("l3"), "length"))
     return reads.select(*keys, "read", F.substring("l0", 2, 1 << 30).alias("name"), F.col("l1").alias("bases"), F.col("l3").alias("quality"), error.alias("error"))
