@@ -25,6 +25,30 @@ def chromosome_counts(genotypes: DataFrame, site: str, founders: list[str] | Non
     return counted.select(site, "an", "ac", F.when(F.col("fn") > 0, F.col("fc") / F.col("fn")).alias("af"))
 
 
+def counts_per_alternate(sites: DataFrame, genotypes: DataFrame, site: str, n_alleles: str, founders: list[str] | None = None, remove_stale: bool = True) -> DataFrame:
+    """(site, an, ac, af): called alleles, and count and frequency of each alternate as arrays, over unfiltered genotypes.
+
+    Counts are of all samples, frequencies of the founders (all if none are
+    named). Alleles are counted per site and allele, then laid out by the
+    site's number of alleles. A site without genotypes has nulls; one where nobody is called as well if stale
+    values are removed, else AN 0 and frequencies 0; one without alternates has AN only. Without a
+    called founder frequencies are NaN.
+    """
+    founder = F.col("sample").isin(founders) if founders else F.lit(True)
+    one = genotypes.filter(~F.col("filtered")).select(F.col(site).alias("site_"), founder.alias("founder_"), F.explode("alleles").alias("allele_")).filter("allele_ is not null")
+    counted = one.groupBy("site_", "allele_").agg(F.count(F.lit(1)).alias("n_"), F.count_if("founder_").alias("f_"))
+    entry = lambda value: F.map_from_entries(F.collect_list(F.struct("allele_", value)))
+    laid = counted.groupBy("site_").agg(F.sum("n_").alias("an_"), F.sum("f_").alias("fn_"), entry("n_").alias("ns_"), entry("f_").alias("fs_"))
+    seen = genotypes.select(F.col(site).alias("seen_")).distinct()
+    rows = sites.select(site, F.col(n_alleles).alias("alleles_")).join(seen, F.col(site) == F.col("seen_"), "left").join(laid, F.col(site) == F.col("site_"), "left")
+    zero = F.lit(0).cast("long")
+    an, alternates = F.coalesce("an_", zero), F.when(F.col("alleles_") > 1, F.sequence(F.lit(1), F.col("alleles_") - 1))
+    of = lambda counts: F.transform(alternates, lambda a: F.coalesce(F.try_element_at(counts, a), zero))
+    share = lambda f: F.when(an == 0, 0.0).when(F.coalesce("fn_", zero) == 0, float("nan")).otherwise(f / F.nullif("fn_", zero))
+    known = F.col("seen_").isNotNull() & ((an > 0) | F.lit(not remove_stale))
+    return rows.select(site, F.when(known, an).alias("an"), F.when(known, of(F.col("ns_"))).alias("ac"), F.when(known, F.transform(of(F.col("fs_")), share)).alias("af"))
+
+
 def monomorphic(genotypes: DataFrame, site: str) -> DataFrame:
     """Sites at which every called allele is the reference."""
     count = lambda test: F.sum(F.size(F.filter("alleles", test)))
