@@ -27,9 +27,35 @@ def integer_tag_type(x: Column) -> Column:
     return F.when((x > (1 << 31) - 1) & (x < 1 << 32), "I").otherwise(out)
 
 
+def _tie_goes_down(x: Column, seven: Column) -> Column:
+    """Whether |x|'s shortest decimal ends in a 5 at the seventh place (``seven`` is its text there) and the double itself lies at it or below.
+
+    Only the parts behind the point are compared (they are exact); the product
+    with 10 ** 7 is taken with its rounding error, from halves of the digits.
+    """
+    scale = 1e7  # fits in the upper half of a double's digits
+    part = x - F.floor(x)
+    wide = part * 134217729.0
+    high = wide - (wide - part)
+    product = part * scale
+    rest = (high * scale - product) + (part - high) * scale
+    digits = F.substring_index(seven, ".", -1).try_cast("double")
+    tie = seven.endswith("5") & (seven.try_cast("double") == x) & (x >= 1e-6) & (x < 2.0**53)
+    return tie & ((product - digits) + rest <= 0)
+
+
 def metric_text(x: Column) -> Column:
-    """Up to six decimals, no padding; ``?`` for null, NaN and infinity, ``-?`` for minus infinity."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    """Up to six decimals, no padding; ``?`` for null, NaN and infinity, ``-?`` for minus infinity.
+
+    What is rounded is the shortest decimal that reads as the double. A 5 with
+    nothing behind it goes up only if the double lies above it.
+    """
+    size = F.abs(x)
+    seven = F.format_string("%.7f", size)
+    six = F.when(_tie_goes_down(size, seven), F.expr("''")).otherwise(F.format_string("%.6f", size))
+    text = F.when(six == "", F.substr(seven, F.lit(1), F.length(seven) - 1)).otherwise(six)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    plain = F.concat(sign, F.regexp_replace(F.regexp_replace(text, "(\\.[0-9]*?)0+$", "$1"), "\\.$", ""))
     return F.when(x.isNull() | F.isnan(x) | (x == float("inf")), "?").when(x == float("-inf"), "-?").otherwise(plain)
 
 
@@ -63,9 +89,51 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
 
 
+#: Errors of Stirling's formula for log(z!) at z = 0, 1/2, 1, ... below 15.
+_STIRLING = np.array([0.0] + [math.lgamma(z / 2 + 1) - (z / 2 + 0.5) * math.log(z / 2) + z / 2 - 0.5 * math.log(2 * math.pi) for z in range(1, 30)])
+
+
+def _stirling_error(z: np.ndarray) -> np.ndarray:
+    """log(z!) less Stirling's formula, for whole and half z: from a table below 15, by its series from there."""
+    far = np.maximum(z, 15.0)
+    w = far * far
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / w) / w) / w) / w) / far
+    return np.where(z < 15, _STIRLING[np.clip(z * 2, 0, 29).astype(int)], series)
+
+
+def _deviance(x: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """x log(x / mu) + mu - x, by a series where x is near mu (each term is under a hundredth of the one before, so eleven are enough)."""
+    d, v = x - mu, (x - mu) / (x + mu)
+    total, term = v * d, 2 * x * v
+    for j in range(1, 12):
+        term = term * v * v
+        total = total + term / (2 * j + 1)
+    return np.where(np.abs(d) < 0.1 * (x + mu), total, x * np.log(x / mu) + mu - x)
+
+
+@F.pandas_udf(DoubleType())
+def _binomial(xs: pd.Series, ns: pd.Series, ps: pd.Series, qs: pd.Series) -> pd.Series:
+    x, n, p, q = (s.to_numpy(float) for s in (xs, ns, ps, qs))
+    with np.errstate(all="ignore"):
+        inner = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+        inner = inner - 0.5 * np.log(2 * math.pi * x * (n - x) / n)
+        none = np.where(p < 0.1, -_deviance(n, n * q) - n * p, n * np.log(q))
+        every = np.where(q < 0.1, -_deviance(n, n * p) - n * q, n * np.log(p))
+        return pd.Series(np.select([n == 0, x == 0, x == n], [0.0, none, every], inner))
+
+
+def binomial_log(x: Column, n: Column, p: Column, q: Column) -> Column:
+    """log probability of x successes in n trials of probability p (q = 1 - p), by the saddle-point expansion; by formulas of their own at both ends. Null where an argument is."""
+    given = x.isNotNull() & n.isNotNull() & p.isNotNull() & q.isNotNull()
+    return F.when(given, _binomial(*(c.cast("double") for c in (x, n, p, q))))
+
+
 def hypergeometric_log(k: Column, draws: Column, successes: Column, total: Column) -> Column:
-    """log probability of k successes among ``draws`` without replacement."""
-    return log_choose(successes, k) + log_choose(total - successes, draws - k) - log_choose(total, draws)
+    """log probability of k successes among ``draws`` without replacement, from three binomial ones; minus infinity where k cannot be."""
+    p, q = draws / total, (total - draws) / total
+    parts = binomial_log(k, successes, p, q) + binomial_log(draws - k, total - successes, p, q) - binomial_log(draws, total, p, q)
+    outside = (k < F.greatest(F.lit(0), draws - (total - successes))) | (k > F.least(successes, draws))
+    return F.when(outside, float("-inf")).otherwise(parts)
 
 
 def _quantile(p: float) -> float:

@@ -320,7 +320,9 @@ def normal_cdf(spark, sf):
     return ad.read(spark, sf, "events").select("event_id", F.round(nu.normal_cdf(F.col("value"), 50.0, 20.0), 9).alias("p"))
 
 
-@query()
+@query("""WITH v AS (SELECT p_partkey, floor(p_size / 3) AS k, floor(p_size / 2) AS d, CAST(p_size AS DOUBLE) AS s FROM part),
+ c AS (SELECT p_partkey, lgamma(s + 1) - lgamma(k + 1) - lgamma(s - k + 1) + lgamma(s + 1) - lgamma(d - k + 1) - lgamma(s - d + k + 1) - lgamma(2 * s + 1) + lgamma(d + 1) + lgamma(2 * s - d + 1) AS log_p FROM v)
+SELECT p_partkey, round(log_p, 9) AS log_p FROM c""")
 def hypergeometric_logp(spark, sf):
     p = F.col("p_size").cast("double")
     k = F.floor(p / 3).cast("double")
