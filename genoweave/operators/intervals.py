@@ -15,24 +15,34 @@ def overlaps(a: DataFrame, b: DataFrame) -> Column:
     return (a["contig"] == b["contig"]) & (a["start"] <= b["end"]) & (a["end"] >= b["start"])
 
 
-def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge overlapping and abutting intervals inside ``keys``."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    flagged = df.withColumn("opens", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
-    numbered = flagged.withColumn("island", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("members").alias("members"))
-
-
 def merge(df: DataFrame) -> DataFrame:
-    """Merged spans (contig, start, end, members).
+    """Merged spans (contig, start, end, members) of overlapping and abutting intervals.
 
-    Intervals are merged inside bands of a contig first, so that a contig with
-    most of the rows is spread out; the few spans left are merged per contig.
+    A contig is worked off in bands. How far the intervals of the bands before
+    reach, and where the last span before a band begins, are small tables with a
+    row per contig and band; inside a band a span opens where a start lies beyond what was reached.
+    So no contig is sorted whole, whether its intervals merge or not.
     """
-    rows = df.select("contig", "start", "end", F.lit(1).cast("long").alias("members"), F.floor(F.col("start") / BAND).alias("band"))
-    local = _islands(rows, ["contig", "band"]).select("contig", "start", "end", "members")
-    return _islands(local, ["contig"]).select("contig", "start", "end", "members")
+    keys = ["contig", "band_"]
+    rows = df.select("contig", "start", "end", F.floor(F.col("start") / BAND).alias("band_"))
+
+    def from_before(table: DataFrame, value: str, name: str) -> DataFrame:
+        earlier = W.partitionBy("contig").orderBy("band_").rowsBetween(W.unboundedPreceding, -1)
+        return table.select(F.col("contig").alias("of_contig_"), F.col("band_").alias("of_band_"), F.max(value).over(earlier).alias(name))
+
+    def with_before(rows_: DataFrame, table: DataFrame) -> DataFrame:
+        same = F.col("contig").eqNullSafe(F.col("of_contig_")) & F.col("band_").eqNullSafe(F.col("of_band_"))
+        return rows_.join(table, same).drop("of_contig_", "of_band_")
+
+    reached = from_before(rows.groupBy(*keys).agg(F.max("end").alias("top_")), "top_", "carried_")
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    reach = F.greatest("carried_", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    flagged = with_before(rows, reached).withColumn("reach_", reach).withColumn("opens_", F.when(F.col("reach_").isNull() | (F.col("start") > F.col("reach_") + 1), 1).otherwise(0))
+    numbered = flagged.withColumn("island_", F.sum("opens_").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    inside = numbered.groupBy(*keys, "island_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members"))
+    begun = from_before(inside.groupBy(*keys).agg(F.max(F.when(F.col("island_") > 0, F.col("start"))).alias("last_")), "last_", "begun_")
+    owned = with_before(inside, begun).withColumn("opener_", F.when(F.col("island_") > 0, F.col("start")).otherwise(F.col("begun_")))
+    return owned.groupBy("contig", "opener_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("members").alias("members")).drop("opener_")
 
 
 def merge_named(df: DataFrame, tie: str) -> DataFrame:
@@ -100,53 +110,62 @@ def split_bands(df: DataFrame, band: int) -> DataFrame:
         F.when(F.col("cut"), F.concat(F.coalesce("name", F.lit("null")), F.lit("."), F.col("b") - first + 1)).otherwise(F.col("name")).alias("name"))
 
 
-def _levels(df: DataFrame, buffer: int, bin_width: int) -> DataFrame:
+def _levels(df: DataFrame, buffer: int, bin_width: int, tag: str) -> DataFrame:
     """Rows that a buffer leaves something of, with their span and the level whose cells are as wide as they are long."""
     s, e = F.col("start") + buffer, F.col("end") - buffer
     level = F.lit(LEVELS - 1)
     for i in range(LEVELS - 2, -1, -1):
         level = F.when(e - s < bin_width * STEP**i, i).otherwise(level)
-    return df.withColumn("s_", s).withColumn("e_", e).filter("s_ <= e_").withColumn("level_", level)
+    return df.withColumn(f"{tag}s", s).withColumn(f"{tag}e", e).filter(F.col(f"{tag}s") <= F.col(f"{tag}e")).withColumn(f"{tag}level", level)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_buffer: int = 0, right_buffer: int = 0, how: str = "inner", bin_width: int = BIN) -> DataFrame:
-    """Pairs of overlapping intervals; ``right``'s columns get the suffix ``_r``.
+def overlap_join(left: DataFrame, right: DataFrame, left_buffer: int = 0, right_buffer: int = 0, how: str = "inner", bin_width: int = BIN, suffix: str = "_r") -> DataFrame:
+    """Pairs of overlapping intervals; ``right``'s columns get the suffix ``_r`` (or another, as names must not clash).
 
     A positive buffer shrinks its side; intervals that it empties match
     nothing. Cells have levels, each ``STEP`` times as wide as the one below; an
     interval lies in at most two cells of its own level, the narrowest that is
     as wide as it is long. A pair meets at the higher of its two levels, in the
-    first cell that both reach, so once. Which levels the sides have comes from
-    one count of both. Rows are joined on (contig, level, cell), so neither side
-    needs to fit in memory, few long intervals don't widen the cells of the many
-    short ones, and cells that stay hot are split by adaptive execution.
-    ``how`` may be left_semi or left_anti; these look each distinct interval up
-    once and keep repeated rows. Null contigs and places match nothing.
+    first cell that both reach, so once. Which levels a side has is one number, a
+    scalar subquery of the plan: building it runs no job. Rows are joined on
+    (contig, level, cell), so neither side needs to fit in memory, few long
+    intervals don't widen the cells of the many short ones, and cells that stay hot
+    are split by adaptive execution. ``how`` may be left_semi or left_anti; these
+    look each distinct interval up once and keep repeated rows. Null contigs and
+    places match nothing.
     """
     if how != "inner":
         keys = ["contig", "start", "end"]
         spans = left.select(*keys).distinct()
         hits = overlap_join(spans, right.select(*keys), left_buffer, right_buffer, bin_width=bin_width).select(*keys).distinct()
         return left.join(hits, keys, how).select(*left.columns)
-    a, b = _levels(left, left_buffer, bin_width), _levels(right, right_buffer, bin_width)
-    tagged = a.select("level_", F.lit(0).alias("side")).unionByName(b.select("level_", F.lit(1).alias("side"))).distinct().collect()  # at most 2 * LEVELS rows
-    present = [sorted(r["level_"] for r in tagged if r["side"] == side) for side in (0, 1)]
-
-    def cells(df: DataFrame, others: list[int]) -> DataFrame:
-        """One row per cell of the own level and of the higher levels that the other side has."""
-        width = F.element_at(F.lit([bin_width * STEP**i for i in range(LEVELS)]), F.col("at_") + 1)
-        levels = F.array_distinct(F.concat(F.array("level_"), F.filter(F.lit(others).cast("array<int>"), lambda x: x > F.col("level_"))))
-        placed = df.withColumn("at_", F.explode(levels)).withColumn("first_", F.floor(F.col("s_") / width))
-        return placed.withColumn("cell_", F.explode(F.sequence("first_", F.floor(F.col("e_") / width))))
-
-    a = cells(a, present[1])
-    b = cells(b, present[0])
-    b = b.select(*(F.col(c).alias(c + "_r") for c in b.columns))
-    meets = (a["contig"] == b["contig_r"]) & (a["at_"] == b["at__r"]) & (a["cell_"] == b["cell__r"])
-    once = (a["at_"] == F.greatest(a["level_"], b["level__r"])) & (a["cell_"] == F.greatest(a["first_"], b["first__r"]))
-    pairs = a.join(b, meets & once & (a["s_"] <= b["e__r"]) & (a["e_"] >= b["s__r"]))
-    helpers = ["s_", "e_", "level_", "at_", "first_", "cell_"]
-    return pairs.drop(*helpers, *(h + "_r" for h in helpers))
+    renamed = {c: c + suffix for c in right.columns}
+    if clash := {c.lower() for c in left.columns} & {c.lower() for c in renamed.values()}:
+        raise ValueError(f"both sides would have {sorted(clash)}: choose another suffix")
+    tag = "_x"  # helper columns begin with what no column of either side does
+    while any(c.lower().startswith(tag) for c in [*left.columns, *renamed.values()]):
+        tag = "_" + tag
+    a, b = _levels(left, left_buffer, bin_width, f"{tag}l_"), _levels(right.withColumnsRenamed(renamed).withColumns({"start": F.col("start" + suffix), "end": F.col("end" + suffix)}), right_buffer, bin_width, f"{tag}r_")
+    b = b.drop("start", "end")
+    width = lambda at: F.element_at(F.lit([bin_width * STEP**i for i in range(LEVELS)]), at + 1)
+
+    def cells(df: DataFrame, side: str, other: DataFrame, other_side: str) -> DataFrame:
+        """One row per cell of the own level (if the other side has that or a lower one) and of each higher level that it has."""
+        mask = other.agg(F.coalesce(F.bit_or(F.element_at(F.lit([1 << i for i in range(LEVELS)]), F.col(f"{other_side}level") + 1)), F.lit(0)).alias("mask")).scalar()
+        level = F.col(f"{side}level")
+        rows = df.withColumn(f"{side}mask", mask)
+        own = F.filter(F.array(level), lambda x: F.col(f"{side}mask").bitwiseAND(F.element_at(F.lit([(2 << i) - 1 for i in range(LEVELS)]), level + 1)) != 0)
+        higher = F.filter(F.lit(list(range(LEVELS))), lambda x: (x > level) & (F.col(f"{side}mask").bitwiseAND(F.element_at(F.lit([1 << i for i in range(LEVELS)]), x + 1)) != 0))
+        at = rows.withColumn(f"{side}at", F.explode(F.concat(own, higher))).withColumn(f"{side}first", F.floor(F.col(f"{side}s") / width(F.col(f"{side}at"))))
+        return at.withColumn(f"{side}cell", F.explode(F.sequence(f"{side}first", F.floor(F.col(f"{side}e") / width(F.col(f"{side}at"))))))
+
+    x, y = f"{tag}l_", f"{tag}r_"
+    ca, cb = cells(a, x, b, y), cells(b, y, a, x)
+    c = F.col
+    meets = (c("contig") == c("contig" + suffix)) & (c(x + "at") == c(y + "at")) & (c(x + "cell") == c(y + "cell"))
+    once = (c(x + "at") == F.greatest(c(x + "level"), c(y + "level"))) & (c(x + "cell") == F.greatest(c(x + "first"), c(y + "first")))
+    pairs = ca.join(cb, meets & once & (c(x + "s") <= c(y + "e")) & (c(x + "e") >= c(y + "s")))
+    return pairs.select(*left.columns, *renamed.values())
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -83,11 +83,10 @@ def md_and_nm(read, cigar, ref):
             f += n
         elif op == "D":
             part = ref[f : f + n]
-            if part:
-                out, run, nm = out + str(run) + "^" + part, 0, nm + len(part)
+            out, run = out + str(run) + "^" + part, 0  # also where nothing is left, and what is cut off costs nothing
             if len(part) < n:
                 return out + str(run), nm
-            f += n
+            f, nm = f + n, nm + n
     return out + str(run), nm
 
 
@@ -110,3 +109,32 @@ def test_tags(spark):
     value = lambda v: spark.range(1).select(tx.tag_value(F.lit(v)).alias("v")).first().v
     assert value("i:-5").integer == -5 and value("f:1.5").number == 1.5 and value("B:c,1,-2").numbers == [1.0, -2.0] and value("Z:").text == ""
     assert value("i:x") is None and value("A:xy") is None and value("H:abc") is None and value("B:q,1") is None and value("B:c,x") is None
+
+
+def test_merge_over_bands_against_brute_force(spark, monkeypatch):
+    """Many disjoint intervals in two and more bands, islands that cross edges and whole bands, and a null contig."""
+    monkeypatch.setattr(iv, "BAND", 100)
+    rng = random.Random(9)
+    rows = [(c, s := rng.randrange(0, 3000), s + rng.randrange(0, 8)) for c in ("a", "b", None) for _ in range(200)]
+    rows += [("a", 150, 560), ("b", 95, 99), ("b", 100, 100), ("b", 101, 350), ("c", 199, 200), ("c", 201, 201), ("c", 203, 204)]
+    want = []
+    for c in {r[0] for r in rows}:
+        end = None
+        for s, e in sorted(r[1:] for r in rows if r[0] == c):
+            if end is None or s > end + 1:
+                want.append([c, s, e, 0])
+                end = e
+            want[-1][2] = end = max(end, e)
+            want[-1][3] += 1
+    got = iv.merge(spark.createDataFrame(rows, "contig string, start long, end long").repartition(3)).select("contig", "start", "end", "members").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_overlap_join_keeps_columns_of_any_name(spark):
+    left = spark.createDataFrame([("c", 1, 5, 7, 8, 9)], "contig string, start long, end long, level_ int, cell_ int, _xl_s int")
+    right = spark.createDataFrame([("c", 5, 9, 3)], "contig string, start long, end long, s_ int")
+    assert [tuple(r) for r in iv.overlap_join(left, right).collect()] == [("c", 1, 5, 7, 8, 9, "c", 5, 9, 3)]
+    with pytest.raises(ValueError):
+        iv.overlap_join(left.withColumnRenamed("cell_", "start_r"), right)
+    other = iv.overlap_join(left.withColumnRenamed("cell_", "start_r"), right, suffix="_other")
+    assert other.columns == ["contig", "start", "end", "level_", "start_r", "_xl_s", "contig_other", "start_other", "end_other", "s__other"] and other.count() == 1
