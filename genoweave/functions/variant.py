@@ -93,9 +93,16 @@ def _all_ints(parts: Column) -> Column:
     return F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
 
 
-def likelihoods_seen_before(has_pl: Column, i: Column) -> Column:
-    """A sample before place ``i`` (from 0) of the record's array of flags has a PL, so that this one's GL is not converted."""
-    return F.exists(F.slice(has_pl, F.lit(1), i), lambda x: x)
+def record_likelihoods(samples: Column) -> Column:
+    """PL of each of a record's samples (an array of structs with ``pl`` and ``gl``, in the header's order).
+
+    A sample's GL is converted only as long as no sample before it had a PL of
+    its own; one that has both keeps its PL.
+    """
+    from ..operators.genotypes import likelihoods_to_pl
+
+    first = F.array_position(F.transform(samples, lambda s: s["pl"].isNotNull()), True)
+    return F.transform(samples, lambda s, i: F.coalesce(s["pl"], F.when((first == 0) | (i < first - 1), likelihoods_to_pl(s["gl"]))))
 
 
 def genotype_of(genotypes: Column, sample: Column) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def build(df: DataFrame, group: str, bin_: str, weight: Column | int = 1) -> DataFrame:
+    """(grp, bin, value): summed weights. -0.0 and 0.0 are bins of their own, which Spark's grouping alone would join."""
     w = F.lit(weight) if isinstance(weight, int) else weight
-    return df.groupBy(F.col(group).alias("grp"), F.col(bin_).cast("double").alias("bin")).agg(F.sum(w).cast("double").alias("value"))
+    bins = F.col(bin_).cast("double")
+    minus = F.when(bins == 0, bins.cast("string").startswith("-")).otherwise(False)
+    summed = df.groupBy(F.col(group).alias("grp"), bins.alias("bin"), minus.alias("minus_")).agg(F.sum(w).cast("double").alias("value"))
+    return summed.select("grp", F.when(F.col("minus_"), F.lit(-0.0)).otherwise(F.col("bin")).alias("bin"), "value")
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numeric as nu
-from ..operators import feature_index as fi
+from ..functions import numeric as nu, variant as va
+from ..operators import feature_index as fi, histogram as hs
 from ..sources import files as fl, sinks as sk, text as tx
 from . import adapters as ad
 from .adapters import with_
@@ -68,3 +68,24 @@ def binomial_logp(spark, sf):
     n, p = F.col("p_size") + F.col("p_partkey") % 400, (F.col("p_partkey") % 19 + 1) / 20.0
     x = F.expr("(p_size + p_partkey % 400) * (p_partkey % 7) div 6")
     return ad.read(spark, sf, "part").select("p_partkey", F.round(nu.binomial_log(x, n, p, 1.0 - p), 6).alias("log_p"))
+
+
+@query("""SELECT user_id % 7 AS grp, CASE WHEN event_id % 4 = 0 THEN '-0.0' WHEN event_id % 4 = 1 THEN '0.0' ELSE CAST(CAST(floor(value / 10) AS BIGINT) + 1 AS VARCHAR) || '.0' END AS bin, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL""")
+def hist_signed_zero(spark, sf):
+    k = F.col("event_id") % 4
+    bins = F.when(k == 0, F.lit(-0.0)).when(k == 1, F.lit(0.0)).otherwise(F.floor(F.col("value") / 10) + 1.0)
+    rows = ad.read(spark, sf, "events").select((F.col("user_id") % 7).alias("g"), bins.alias("b"))
+    return hs.build(rows, "g", "b").select("grp", F.col("bin").cast("string").alias("bin"), "value")
+
+
+@query("""WITH o AS (SELECT o_custkey AS site, o_orderkey, o_orderkey % 3 AS kind, o_orderkey % 90 AS v FROM orders),
+ w AS (SELECT *, bool_or(kind = 1) OVER (PARTITION BY site ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM o),
+ p AS (SELECT site, o_orderkey, CASE WHEN kind = 1 THEN v || ',0' WHEN kind = 0 AND NOT coalesce(seen, false) THEN '0,' || v * 10 ELSE '.' END AS pl FROM w)
+SELECT site, array_to_string(list(pl ORDER BY o_orderkey), ';') AS pl FROM p GROUP BY site""")
+def likelihoods_in_record_order(spark, sf):
+    """Samples with PL, with GL and with neither, by the order of the record: GL counts only before the first PL."""
+    k, v = F.col("o_orderkey") % 3, F.col("o_orderkey") % 90
+    own = F.struct("o_orderkey", F.when(k == 1, F.array(v.cast("int"), F.lit(0))).alias("pl"), F.when(k == 0, F.array(F.lit(-1.0), -1.0 - v)).alias("gl"))
+    sites = ad.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.array_sort(F.collect_list(own)).alias("s"))
+    text = F.transform(va.record_likelihoods(F.col("s")), lambda p: F.coalesce(F.array_join(p.cast("array<string>"), ","), F.lit(".")))
+    return sites.select("site", F.array_join(text, ";").alias("pl"))

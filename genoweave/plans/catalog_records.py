@@ -50,7 +50,19 @@ def bases_equal_count(spark, sf):
     return pairs.select("doc_id", miss.alias("mismatches"), (F.least(F.length("bases"), F.length("other")) - miss).alias("equal"))
 
 
-@query()
+_WRAP = lambda e: f"(({e}) & 4294967295::UBIGINT)"
+_TURN = lambda e, r: _WRAP(f"({e} << {r}) | ({e} >> {32 - r})")
+_SCRAMBLE = lambda k: _WRAP(_TURN(_WRAP(f"{k} * 3432918353::UBIGINT"), 15) + " * 461845907::UBIGINT")
+#: Murmur3 of 'q' and the key: pairs of characters, then the odd one, then the final mix.
+MURMUR = f"""WITH u AS (SELECT o_orderkey, 'q' || o_orderkey AS t FROM orders), c AS (SELECT o_orderkey, length(t) AS n, list_transform(string_split(t, ''), lambda x: CAST(unicode(x) AS UBIGINT)) AS u FROM u),
+ b AS (SELECT *, list_transform(range(0, n // 2), lambda i: u[2 * i + 1] | (u[2 * i + 2] << 16)) AS blocks FROM c),
+ h AS (SELECT *, list_reduce(list_prepend(1::UBIGINT, blocks), lambda h, k: {_WRAP(_TURN(f"xor(h, {_SCRAMBLE('k')})", 13) + " * 5 + 3864292196::UBIGINT")}) AS h FROM b),
+ t AS (SELECT o_orderkey, xor(CASE WHEN n % 2 = 1 THEN xor(h, {_SCRAMBLE('u[n]')}) ELSE h END, CAST(2 * n AS UBIGINT)) AS h FROM h),
+ x AS (SELECT o_orderkey, {_WRAP("xor(h, h >> 16) * 2246822507::UBIGINT")} AS h FROM t), y AS (SELECT o_orderkey, {_WRAP("xor(h, h >> 13) * 3266489909::UBIGINT")} AS h FROM x)
+SELECT o_orderkey FROM y WHERE xor(h, h >> 16) < 1073741824"""
+
+
+@query(MURMUR)
 def murmur3_downsample(spark, sf):
     kept = sq.murmur3(F.concat(F.lit("q"), F.col("o_orderkey")), 1) < (1 << 30)
     return ad.read(spark, sf, "orders").filter(kept).select("o_orderkey")
