@@ -14,7 +14,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators.reference import running_offset
 from .text import fastq_lines
 
 #: Splits (one row of a few hundred bytes each) that are broadcast to the lines; more are joined.
@@ -40,33 +39,40 @@ def fastq_reads(numbered: DataFrame) -> DataFrame:
     return fastq_lines(numbered, "line", ["file"])
 
 
-def _owner(numbered: DataFrame, starts: Column, band: int = 1 << 16) -> DataFrame:
+def _owner(numbered: DataFrame, starts: Column, size: Column | None = None, band: int = 1 << 16) -> DataFrame:
     """Lines with the number of the last line at or before them for which ``starts`` holds, as ``owner`` (null before the first).
 
-    Lines are looked through in bands; what a band begins with comes from the
-    last such line of the bands before.
+    With ``size``, also its sum over the file's lines before, as ``before``. Lines
+    are looked through in bands, in one exchange; what a band begins with comes from
+    small tables of the bands before.
     """
-    marked = numbered.withColumn("band_", F.floor(F.col("line") / band)).withColumn("mark_", F.when(starts, F.col("line")))
-    tops = marked.groupBy("file", "band_").agg(F.max("mark_").alias("top_"))
-    earlier = F.max("top_").over(W.partitionBy("file").orderBy("band_").rowsBetween(W.unboundedPreceding, -1))
-    carried = tops.select(F.col("file").alias("file_"), F.col("band_").alias("band__"), earlier.alias("carried_"))
-    inside = F.max("mark_").over(W.partitionBy("file", "band_").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
-    joined = marked.withColumn("inside_", inside).join(carried, (F.col("file") == F.col("file_")) & (F.col("band_") == F.col("band__")))
-    return joined.withColumn("owner", F.coalesce("inside_", "carried_")).drop("band_", "mark_", "file_", "band__", "carried_", "inside_")
+    size = F.lit(0) if size is None else size
+    marked = numbered.withColumn("band_", F.floor(F.col("line") / band)).withColumn("mark_", F.when(starts, F.col("line"))).withColumn("size_", size.cast("long"))
+    tops = marked.groupBy("file", "band_").agg(F.max("mark_").alias("top_"), F.sum("size_").alias("total_"))
+    earlier = W.partitionBy("file").orderBy("band_").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    carried = tops.select(F.col("file").alias("file_"), F.col("band_").alias("band__"), F.max("top_").over(earlier).alias("carried_"), F.coalesce(F.sum("total_").over(earlier), zero).alias("start_"))
+    order = W.partitionBy("file", "band_").orderBy("line")
+    inside = marked.withColumn("inside_", F.max("mark_").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("sum_", F.coalesce(F.sum("size_").over(order.rowsBetween(W.unboundedPreceding, -1)), zero))
+    joined = inside.join(carried, (F.col("file") == F.col("file_")) & (F.col("band_") == F.col("band__")))
+    return joined.select(*numbered.columns, F.coalesce("inside_", "carried_").alias("owner"), (F.col("start_") + F.col("sum_")).alias("before"))
 
 
 def fasta_pieces(numbered: DataFrame) -> DataFrame:
     """Lines of sequences as pieces (file, contig, offset, bases, error), ready for ``chunk_table``; no sequence is put together.
 
     A name runs to the first white space. Blanks at a line's end are no bases.
-    Text before the first name has the ``error`` ``header`` and no contig.
+    Text before the first name has the ``error`` ``header`` and no contig. A
+    line's offset is the bases of the file before it less those before its sequence's name.
     """
-    owned = _owner(numbered, F.col("value").startswith(">"))
-    names = owned.filter(F.col("line") == F.col("owner")).select(F.col("file").alias("file_"), F.col("line").alias("owner_"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("contig"))
-    body = owned.filter(~F.coalesce(F.col("line") == F.col("owner"), F.lit(False))).withColumn("bases", F.regexp_replace("value", r"\s+$", "")).filter("bases <> ''")
-    placed = running_offset(body, ["file", "owner"], "line", F.length("bases"))
-    joined = placed.join(names, (F.col("file") == F.col("file_")) & (F.col("owner") == F.col("owner_")), "left")
-    return joined.select("file", "contig", "offset", "bases", F.when(F.col("owner").isNull(), "header").alias("error"))
+    bases = F.regexp_replace("value", r"\s+$", "")
+    is_name = F.col("value").startswith(">")
+    owned = _owner(numbered, is_name, F.when(is_name, 0).otherwise(F.length(bases)))
+    names = owned.filter(F.col("line") == F.col("owner")).select(
+        F.col("file").alias("file_"), F.col("line").alias("owner_"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("contig"), F.col("before").alias("first_"))
+    body = owned.filter(~F.coalesce(F.col("line") == F.col("owner"), F.lit(False))).withColumn("bases", bases).filter("bases <> ''")
+    joined = body.join(names, (F.col("file") == F.col("file_")) & (F.col("owner") == F.col("owner_")), "left")
+    return joined.select("file", "contig", (F.col("before") - F.coalesce("first_", F.lit(0).cast("long"))).alias("offset"), "bases", F.when(F.col("owner").isNull(), "header").alias("error"))
 
 
 def chains(numbered: DataFrame) -> DataFrame:
