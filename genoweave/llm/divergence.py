@@ -53,16 +53,15 @@ def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*names, pa.array(terms.keys(), pa.binary()), n, docs_], ["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict = defaultdict(Counter)
+        counted: dict = defaultdict(dict)
         held = 0
         for batch in batches:
             for lang_, source_, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 terms = counted[lang_, source_]
                 before = len(terms)
-                found = split_terms(value.as_py())
-                terms.update(found)
-                for term in set(found):
-                    terms[term] += DOCS_AT
+                get = terms.get
+                for term, n in Counter(split_terms(value.as_py())).items():
+                    terms[term] = get(term, 0) + n + DOCS_AT
                 held += len(terms) - before
                 if held >= TABLE_ROWS:
                     yield from rows(counted)
