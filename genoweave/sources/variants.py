@@ -16,7 +16,6 @@ from .text import variant_header_fields
 COLUMNS = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
 READ_VERSIONS = ("VCFv4.0", "VCFv4.1", "VCFv4.2", "VCFv4.3")
 OTHER_VERSIONS = ("VCRv3.2", "VCFv3.3", "VCFv4.4")
-INFO_TYPE = "struct<flag:boolean,values:array<string>>"
 
 
 def _header(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +65,8 @@ def frames(numbered: DataFrame) -> DataFrame:
                        F.coalesce("info", F.create_map().cast("map<string,struct<type:string,number:string>>")).alias("info"), error.alias("error"))
 
 
-def parse_attributes(text: Column, declared: Column, decode: Column) -> Column:
-    """INFO text as a map of key to (flag, values); the last of a repeated key counts.
+def attribute_entries(text: Column, declared: Column, decode: Column) -> Column:
+    """INFO text as an array of (key, value: (flag, values), gone).
 
     A bare key is a flag, or missing (no values) if it is declared as something else;
     ``KEY=`` is missing; a declared Flag written ``KEY=0`` is left out. Values are
@@ -85,10 +84,14 @@ def parse_attributes(text: Column, declared: Column, decode: Column) -> Column:
         kept = F.when(~F.coalesce(single & (values[0] == ""), F.lit(False)), values)
         return F.struct(key.alias("key"), F.struct(flag.alias("flag"), kept.alias("values")).alias("value"), gone.alias("gone"))
 
-    entries = F.filter(F.transform(F.split(text, ";", -1), one), lambda e: ~e["gone"])
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    found = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])))
-    return F.when(text == ".", F.create_map().cast(f"map<string,{INFO_TYPE}>")).otherwise(found)
+    return F.filter(F.transform(F.filter(F.split(text, ";", -1), lambda _: text != "."), one), lambda e: ~e["gone"])
+
+
+def attribute_map(entries: str) -> Column:
+    """A column of ``attribute_entries`` as a map; the last of a repeated key counts. It is a column of its own so that no entry is parsed twice."""
+    e = F.col(entries)
+    last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
 
 
 def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
     rows = body.withColumn("p", parts).withColumn("expected", F.when(with_samples, 9).otherwise(8))
     at = lambda i: F.get("p", F.lit(i))
     decode = F.col("version") >= "VCFv4.3"
-    rows = rows.withColumn("attributes", F.when((F.size("p") == F.col("expected")) & (at(7) != ""), parse_attributes(at(7), F.col("declared"), decode)))
+    rows = rows.withColumn("entries", F.when((F.size("p") == F.col("expected")) & (at(7) != ""), attribute_entries(at(7), F.col("declared"), decode))).withColumn("attributes", attribute_map("entries"))
     start, quality = at(1).try_cast("long"), va.vcf_double(at(5))
     reference, alts = F.upper(at(3)), F.split(at(4), ",", -1)
     bad_alleles = (va.allele_kind(reference, F.lit(True)) != "bases") | va.allele_kind(reference, F.lit(True)).isNull() | F.exists(alts, lambda a: va.allele_kind(a, F.lit(False)).isNull())
