@@ -67,3 +67,15 @@ def test_index_is_exact_and_stops_early():
     assert 0 < index.read < 0.7 * index.postings
     big = ImpactIndex(np.arange(60), rng.integers(-(1 << 40), 1 << 40, (60, 3)))
     assert big.search(np.array([1 << 40] * 3), 0, 5)[1][0] == max(int(sum(int(v) << 40 for v in row)) for row in big.x[1:])
+
+
+def test_shares_on_supplied_vectors(spark, sf_dir):
+    """Shares of postings read and of vectors rescored on the supplied vectors, as README states them."""
+    data = integer_vectors(spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.1/embeddings.parquet"), "embedding").collect()
+    ids, x = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data])
+    index, rescored, queries = ImpactIndex(ids, x), 0, np.flatnonzero(ids % 100 == 0)
+    for i in queries:
+        rescored += index._possible(x[i], ids != ids[i], 10).size
+    assert index.postings == x.size * len(queries)
+    assert 0.7 < index.read / index.postings < 0.9
+    assert 0.8 < rescored / (len(ids) * len(queries)) < 0.95
