@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+NEAR = 1 / 2000  # share of a group on each side of a wanted percentile that is ranked
+ACCURACY = 20_000  # of the approximate percentiles that bracket it
+
 
 def build(df: DataFrame, group: str, bin_: str, weight: Column | int = 1) -> DataFrame:
     """(grp, bin, value): summed weights. -0.0 and 0.0 are bins of their own, which Spark's grouping alone would join."""
@@ -90,14 +93,26 @@ def trim(h: DataFrame, width: float) -> DataFrame:
 def list_percentile(df: DataFrame, group: str, value: str, p: float, rule: str = "legacy") -> DataFrame:
     """Exact percentile of values: ``legacy`` interpolates at p(n + 1), ``r1`` takes the nearest rank; NaN left out.
 
-    Ranks come from a window, so no group's values are gathered.
+    Two approximate percentiles bracket the wanted one; the values below, inside
+    and above are counted exactly, and only the parts that hold the wanted ranks
+    (as a rule the bracket, two ``NEAR`` of the group) are ranked, equal values as
+    one row. The result doesn't depend on how good the bracket is.
     """
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("grp"), F.col(value).alias("x"))
-    ranked = clean.withColumn("rn", F.row_number().over(W.partitionBy("grp").orderBy("x"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("grp")))
+    near = F.percentile_approx("x", F.array(F.lit(max(0.0, p - NEAR)), F.lit(min(1.0, p + NEAR))), ACCURACY)
+    sided = _with(clean, clean.groupBy("grp").agg(near.alias("near"), F.count(F.lit(1)).alias("n")))
+    sided = sided.withColumn("side", F.when(F.col("x") < F.col("near")[0], 0).when(F.col("x") <= F.col("near")[1], 1).otherwise(2))
     at = F.lit(p) * (F.col("n") + 1) if rule == "legacy" else F.ceil(F.lit(p) * F.col("n"))
     low = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(at)))
     high = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(at) + (1 if rule == "legacy" else 0)))
     part = F.when((at < 1) | (at >= F.col("n")), 0.0).otherwise(at - F.floor(at)) if rule == "legacy" else F.lit(0.0)
+    sides = sided.groupBy("grp", "side", "n").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.partitionBy("grp").orderBy("side").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    wanted = sides.withColumn("before", before).filter((F.col("before") < high) & (F.col("before") + F.col("rows") >= low))
+    wanted = wanted.select(F.col("grp").alias("grp_"), F.col("side").alias("side_"), "before")
+    held = sided.join(wanted, F.col("grp").eqNullSafe(F.col("grp_")) & (F.col("side") == F.col("side_")))
+    values = held.groupBy("grp", "side", "x").agg(F.count(F.lit(1)).alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    ranked = values.withColumn("cum", F.col("before") + F.sum("c").over(W.partitionBy("grp", "side").orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
     found = ranked.groupBy("grp").agg(
-        F.max(F.when(F.col("rn") == low, F.col("x"))).alias("a"), F.max(F.when(F.col("rn") == high, F.col("x"))).alias("b"), F.max(part).alias("f"))
+        F.min(F.when(F.col("cum") >= low, F.col("x"))).alias("a"), F.min(F.when(F.col("cum") >= high, F.col("x"))).alias("b"), F.max(part).alias("f"))
     return found.select("grp", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("percentile"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.alignment import UNMAPPED, has_flag, linear_window
+from . import bands
 
 
 def reference_counts(df: DataFrame) -> DataFrame:
@@ -23,22 +24,27 @@ def linear_index(df: DataFrame) -> DataFrame:
     return filled.withColumn("offset", F.coalesce(F.last("offset", ignorenulls=True).over(order), F.lit(0)))
 
 
-def coalesce_chunks(chunks: DataFrame, keys: list[str], block_bits: int = 16) -> DataFrame:
-    """Chunks (start, end virtual offsets) joined with the last one if they begin in the block where that ends, or the next."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    gap = F.shiftright("start", block_bits) - F.shiftright(F.lag("end").over(order), block_bits)
-    opened = chunks.withColumn("opens", F.when(gap.isNull() | (gap > 1), 1).otherwise(0))
-    numbered = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks")).drop("run")
+def coalesce_chunks(chunks: DataFrame, keys: list[str], block_bits: int = 16, band: int = 1 << 32) -> DataFrame:
+    """Chunks (start, end virtual offsets) joined with the last one if they begin in the block where that ends, or the next.
+
+    A group is worked off in bands of ``band`` offsets.
+    """
+    rows = bands.cut(chunks, "start", band)
+    carried = bands.carry(rows, keys, before_=(F.max_by("end", F.struct("start", "end")), bands.last_known))
+    order = bands.inside(keys, "start", "end")
+    last = F.when(F.row_number().over(order) == 1, F.col("before_")).otherwise(F.lag("end").over(order))
+    gap = F.shiftright("start", block_bits) - F.shiftright(last, block_bits)
+    opened = carried.withColumn("opens_", F.when(gap.isNull() | (gap > 1), 1).otherwise(0))
+    return bands.runs(opened, keys, ["start", "end"], start=(F.min("start"), F.min), end=(F.max("end"), F.max), chunks=(F.count(F.lit(1)), F.sum))
 
 
-def consolidate_blocks(blocks: DataFrame, keys: list[str], gap: int = 1000) -> DataFrame:
-    """Byte ranges (start, end exclusive) joined where less than ``gap`` bytes lie between."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = blocks.withColumn("opens", F.when(reach.isNull() | (F.col("start") - reach >= gap), 1).otherwise(0))
-    numbered = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+def consolidate_blocks(blocks: DataFrame, keys: list[str], gap: int = 1000, band: int = 1 << 32) -> DataFrame:
+    """Byte ranges (start, end exclusive) joined where less than ``gap`` bytes lie between; groups are worked off in bands of ``band`` bytes."""
+    rows = bands.cut(blocks, "start", band)
+    carried = bands.carry(rows, keys, before_=(F.max("end"), F.max))
+    reach = F.greatest("before_", F.max("end").over(bands.inside(keys, "start", "end").rowsBetween(W.unboundedPreceding, -1)))
+    opened = carried.withColumn("reach_", reach).withColumn("opens_", F.when(F.col("reach_").isNull() | (F.col("start") - F.col("reach_") >= gap), 1).otherwise(0))
+    return bands.runs(opened, keys, ["start", "end"], start=(F.min("start"), F.min), end=(F.max("end"), F.max))
 
 
 def feature_bins(features: DataFrame, width: int = 8000) -> DataFrame:
@@ -50,11 +56,14 @@ def feature_bins(features: DataFrame, width: int = 8000) -> DataFrame:
     return scaffold.join(used.drop("longest"), ["contig", "bin"], "left").na.fill(0, ["features"])
 
 
-def out_of_order(df: DataFrame, order: str, contig: str, start: str, keys: list[str]) -> DataFrame:
-    """Rows whose start goes back on the contig of the row before."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return df.withColumn("prev_contig", F.lag(contig).over(w)).withColumn("prev_start", F.lag(start).over(w)).filter(
-        (F.col("prev_contig") == F.col(contig)) & (F.col("prev_start") > F.col(start))).drop("prev_contig", "prev_start")
+def out_of_order(df: DataFrame, order: str, contig: str, start: str, keys: list[str], band: int = 1 << 20) -> DataFrame:
+    """Rows whose start goes back on the contig of the row before, by the integer column ``order``; a group is worked off in bands of it."""
+    place = F.struct(F.col(contig).alias("contig"), F.col(start).alias("start"))
+    rows = bands.carry(bands.cut(df, order, band), keys, before_=(F.max_by(place, order), bands.last_known))
+    w = bands.inside(keys, order)
+    last = F.when(F.row_number().over(w) == 1, F.col("before_")).otherwise(F.lag(place).over(w))
+    back = (F.col("last_.contig") == F.col(contig)) & (F.col("last_.start") > F.col(start))
+    return rows.withColumn("last_", last).filter(back).drop("last_", "before_", "band_")
 
 
 def symbol_pairs(df: DataFrame, text: str) -> DataFrame:
@@ -94,16 +103,19 @@ def linear_bin_width(blocks: DataFrame, width: int, densest: int = 100, widest:
     return scored.join(best, ["contig", "level"]).select("contig", (F.lit(width) * F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("width"), "blocks")
 
 
-def length_statistics(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def length_statistics(features: DataFrame, keys: list[str], order: list[str], band: int = 1 << 20) -> DataFrame:
     """Per group: features, bases seen, longest, and mean and sample deviation of the running longest length.
 
     Bases seen adds the distance to the start before, or the whole start where
-    starts go back (and at the front).
+    starts go back (and at the front). The first column of ``order`` is an
+    integer; a group is worked off in bands of it.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    step = F.col("start") - F.lag("start").over(w)
-    rows = features.withColumn("seen", F.when(step >= 0, step).otherwise(F.col("start"))).withColumn(
-        "longest", F.max(F.col("end") - F.col("start") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*keys).agg(
+    w = bands.inside(keys, *order)
+    length = F.col("end") - F.col("start") + 1
+    rows = bands.carry(bands.cut(features, order[0], band), keys, before_=(F.max_by("start", F.struct(*order)), bands.last_known), top_=(F.max(length), F.max))
+    step = F.col("start") - F.when(F.row_number().over(w) == 1, F.col("before_")).otherwise(F.lag("start").over(w))
+    running = rows.withColumn("seen", F.when(step >= 0, step).otherwise(F.col("start"))).withColumn(
+        "longest", F.greatest("top_", F.max(length).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    return running.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("features"), F.sum("seen").alias("bases_seen"), F.max("longest").alias("longest_feature"), F.avg("longest").alias("mean_length"),
         F.stddev_samp("longest").alias("sd_length"))
