@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from genoweave.plans import catalog, catalog_access, catalog_headers, catalog_more, catalog_records, catalog_reference, catalog_variants  # noqa: F401
+from genoweave.plans import catalog, catalog_access, catalog_headers, catalog_more, catalog_records, catalog_reference, catalog_rewrites, catalog_variants  # noqa: F401
 
 
 @pytest.fixture(scope="module")
