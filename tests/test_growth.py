@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from genoweave.operators import intervals as iv
+from genoweave.functions import alignment as al
+from genoweave.operators import intervals as iv, pairs as pr
 
 
 def test_copies_of_a_span_meet_as_few_rows(spark):
@@ -28,3 +29,11 @@ def test_semi_join_asks_merged_spans(spark):
     shrunk = spark.createDataFrame([("c1", 6, 7)], left.schema)
     assert iv.overlap_join(shrunk, right, right_buffer=1, how="left_semi").count() == 0
     assert iv.overlap_join(shrunk, right, right_buffer=-1, how="left_semi").count() == 1
+
+
+def test_soft_clip_walks_a_cigar_once(spark):
+    rows = spark.createDataFrame([("5M3D4M2H",), ("2S9M",), ("4M",)], "c string").select(al.parse_cigar(F.col("c")).alias("c")).cache()
+    clipped = rows.select(al.soft_clip_from(F.col("c"), F.lit(6)).alias("x"))
+    walks = clipped._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert walks == 1
+    assert [r.x for r in clipped.select(al.render_cigar(F.col("x")).alias("x")).collect()] == ["5M4S2H", "2S3M6S", "4M"]
