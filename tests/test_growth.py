@@ -37,3 +37,14 @@ def test_soft_clip_walks_a_cigar_once(spark):
     walks = clipped._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
     assert walks == 1
     assert [r.x for r in clipped.select(al.render_cigar(F.col("x")).alias("x")).collect()] == ["5M4S2H", "2S3M6S", "4M"]
+
+
+def test_mates_carry_what_pairing_needs(spark):
+    rows = spark.createDataFrame([("a", 65, 0, 10, 30, "4M2D", 2, "x"), ("a", 65, 0, 10, 20, "4M", 1, "y"), ("a", 145, 0, 20, 40, "5M", 3, "z"), ("b", 65, 0, 1, 1, "1M", 1, "u"), ("c", 0, 0, 1, 1, "1M", 1, "u")],
+                                 "read_name string, flags int, ref_index int, pos int, mapq int, c string, k int, extra string").withColumn("cigar", al.parse_cigar(F.col("c"))).drop("c")
+    found = pr.mates(rows, ["k"])
+    assert found.schema["r1"].dataType.names == ["k", *pr.NEEDED]  # neither CIGAR nor name goes along
+    pair, = found.collect()
+    assert pair.r1.asDict() == {"k": 1, "flags": 65, "ref_index": 0, "pos": 10, "mapq": 20, "alignment_end": 13} and pair.r2.alignment_end == 24
+    assert found.select(pr.insert_size(F.col("r1"), F.col("r2"))).collect() == [(15,)]
+    assert pr.mates(rows, ["k"], keep=["extra"]).select("r1.extra", "r2.extra").collect() == [("y", "z")]
