@@ -22,8 +22,8 @@ def reverse_complement(spark, sf):
 def phred_roundtrip(spark, sf):
     n = F.length("bases")
     scores = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: ((F.col("doc_id") + i) % 41).cast("int"))
-    text = sq.to_fastq_quality(scores)
-    return ad.reads(spark, sf).select("doc_id", text.alias("quality"), (sq.from_fastq_quality(text) == scores).alias("same"))
+    rows = ad.reads(spark, sf).withColumn("scores", scores).withColumn("quality", sq.to_fastq_quality(F.col("scores")))
+    return rows.select("doc_id", "quality", (sq.from_fastq_quality(F.col("quality")) == F.col("scores")).alias("same"))
 
 
 @query(with_("reads") + "SELECT doc_id, md5('@r' || doc_id || chr(10) || bases || chr(10) || '+' || chr(10) || repeat('I', length(bases))) AS record_md5 FROM reads")
