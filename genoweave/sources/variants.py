@@ -94,6 +94,11 @@ def attribute_map(entries: str) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
 
 
+def _settled(c: Column) -> Column:
+    """A value as a generated column of one row: a filter on it is applied to the value and doesn't repeat its expression further down."""
+    return F.explode(F.array(c))
+
+
 def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
     """Body lines of files with their frame, decoded by the file's version.
 
@@ -111,7 +116,8 @@ def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
     rows = body.withColumn("p", parts).withColumn("expected", F.when(with_samples, 9).otherwise(8))
     at = lambda i: F.get("p", F.lit(i))
     decode = F.col("version") >= "VCFv4.3"
-    rows = rows.withColumn("entries", F.when((F.size("p") == F.col("expected")) & (at(7) != ""), attribute_entries(at(7), F.col("declared"), decode))).withColumn("attributes", attribute_map("entries"))
+    entries = F.when((F.size("p") == F.col("expected")) & (at(7) != ""), attribute_entries(at(7), F.col("declared"), decode))
+    rows = rows.withColumn("entries", _settled(entries)).withColumn("attributes", _settled(attribute_map("entries"))).drop("entries")
     start, quality = at(1).try_cast("long"), va.vcf_double(at(5))
     reference, alts = F.upper(at(3)), F.split(at(4), ",", -1)
     bad_alleles = (va.allele_kind(reference, F.lit(True)) != "bases") | va.allele_kind(reference, F.lit(True)).isNull() | F.exists(alts, lambda a: va.allele_kind(a, F.lit(False)).isNull())
@@ -119,7 +125,8 @@ def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
     stop = F.get(end, F.lit(0)).try_cast("long")
     error = (F.when(F.col("frame_error").isNotNull(), "frame").when(F.size("p") != F.col("expected"), "columns").when(start.isNull(), "position").when(at(2) == "", "id")
              .when((at(5) != ".") & quality.isNull(), "quality").when(at(6).isin("", "0"), "filter").when((at(7) == "") | at(7).rlike("[\t ]"), "info").when(end.isNotNull() & stop.isNull(), "end").when(bad_alleles, "alleles"))
-    good = error.isNull()
+    rows = rows.withColumn("error", _settled(error))
+    error, good = F.col("error"), F.col("error").isNull()
     log10 = F.when((at(5) == ".") | (F.abs(quality + 1) < 1e-6), 1.0).otherwise(quality / -10)
     filters = F.when(at(6) == "PASS", F.array().cast("array<string>")).when(at(6) != ".", F.split(at(6), ";", -1))
     alleles = F.concat(F.array(reference), F.filter(alts, lambda a: a != "."))
@@ -127,7 +134,7 @@ def records(numbered: DataFrame, frame: DataFrame) -> DataFrame:
     only = lambda c, name: F.when(good, c).alias(name)
     return rows.select(
         "file", "line", only(at(0), "contig"), only(start, "start"), only(F.coalesce(stop, start + F.length(reference) - 1), "stop"), only(at(2), "id"), only(alleles, "alleles"), only(log10, "log10_error"),
-        only(filters, "filters"), only(F.col("attributes"), "info"), only(block[0], "format"), only(F.slice(block, 2, 1 << 20), "genotypes"), "samples", error.alias("error"),
+        only(filters, "filters"), only(F.col("attributes"), "info"), only(block[0], "format"), only(F.slice(block, 2, 1 << 20), "genotypes"), "samples", "error",
         F.when(error == "columns", F.col("line")).when(error.isNotNull(), F.col("line") + 1).alias("error_line"), "declared")
 
 

@@ -48,3 +48,18 @@ def test_mates_carry_what_pairing_needs(spark):
     assert pair.r1.asDict() == {"k": 1, "flags": 65, "ref_index": 0, "pos": 10, "mapq": 20, "alignment_end": 13} and pair.r2.alignment_end == 24
     assert found.select(pr.insert_size(F.col("r1"), F.col("r2"))).collect() == [(15,)]
     assert pr.mates(rows, ["k"], keep=["extra"]).select("r1.extra", "r2.extra").collect() == [("y", "z")]
+
+
+def _expressions(df, what):
+    """The most often that one node of the plan has an expression."""
+    return max(line.count(what) for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_scores_are_worked_out_once(spark, sf_dir):
+    from genoweave.plans import catalog, catalog_records  # noqa: F401
+    assert _expressions(catalog.QUERIES["phred_roundtrip"](spark, sf_dir), "sequence(") == 1
+
+
+def test_filter_on_errors_does_not_repeat_the_parsing(spark, sf_dir):
+    from genoweave.plans import catalog, catalog_headers  # noqa: F401
+    assert _expressions(catalog.QUERIES["info_typed"](spark, sf_dir), "transform(") < 12
