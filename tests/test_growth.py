@@ -63,3 +63,25 @@ def test_scores_are_worked_out_once(spark, sf_dir):
 def test_filter_on_errors_does_not_repeat_the_parsing(spark, sf_dir):
     from genoweave.plans import catalog, catalog_headers  # noqa: F401
     assert _expressions(catalog.QUERIES["info_typed"](spark, sf_dir), "transform(") < 12
+
+
+def test_doubles_of_rows_without_a_kind(spark, tmp_path):
+    import duckdb
+    from genoweave.plans import catalog, catalog_variants  # noqa: F401
+    rows = [(i, 0.25 * i) for i in range(-8, 9)] + [(None, 1.0), (7, None), (14, 1e300), (21, -0.0)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["vcf_double_parse"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(repr, got)) == sorted(map(repr, con.sql(catalog.ORACLES["vcf_double_parse"]).fetchall()))  # as text, as nan equals nothing
+
+
+def test_chain_lines_travel_without_their_path(spark):
+    from genoweave.sources import files as fl
+    chain = ["chain 5 c1 9000 + 10 26 d1 9000 + 20 37 {}", "5 3 4", "8"]
+    lines = [(f, i, text.format(no)) for no, f in enumerate(["b/long/path", "a/long/path"]) for i, text in enumerate(chain)]
+    found = fl.chains(spark.createDataFrame(lines, "file string, line long, value string"))
+    assert sorted((r.file, r.chain_id, r.block, r.from_start, r.error) for r in found.collect()) == [
+        ("a/long/path", 1, 0, 10, None), ("a/long/path", 1, 1, 18, None), ("b/long/path", 0, 0, 10, None), ("b/long/path", 0, 1, 18, None)]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(path_" in plan
