@@ -84,8 +84,11 @@ def chains(numbered: DataFrame) -> DataFrame:
     must be), ``fields`` (a block line that isn't one number or three),
     ``unfinished`` (the last line isn't the terminal block), ``terminal`` (lines after it),
     ``sum`` (blocks and gaps don't reach the ends that the header gives), ``stray`` (lines that belong to no chain).
-    Lines beginning with ``#`` are left out.
+    Lines beginning with ``#`` are left out. Lines travel with their file's number among all
+    files instead of its path, which is longer than they are; files and their numbers are broadcast.
     """
+    files = F.broadcast(numbered.select(F.col("file").alias("path_")).distinct().withColumn("no_", F.row_number().over(W.orderBy("path_"))))
+    numbered = numbered.join(files, F.col("file") == F.col("path_")).select(F.col("no_").alias("file"), "line", "value")
     spaced = numbered.filter(~F.col("value").startswith("#")).withColumn("value", F.trim("value"))
     owned = _owner(spaced, F.col("value").startswith("chain"))
     h = F.split("value", r"\s+")
@@ -122,7 +125,8 @@ def chains(numbered: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     bad = judged.filter("error is not null").select(
         "file", "chain_line", "chain_id", "contig", none.alias("from_start"), none.alias("from_end"), "to_contig", none.alias("to_start"), "to_size", "opposite", F.lit(None).cast("int").alias("block"), "error")
-    return rows.unionByName(bad)
+    found = rows.unionByName(bad)
+    return found.join(files, F.col("file") == F.col("no_")).withColumn("file", F.col("path_")).drop("path_", "no_")
 
 
 def missing_targets(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
