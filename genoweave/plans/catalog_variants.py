@@ -184,7 +184,7 @@ def header_typed_values(spark, sf):
 
 @query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN value WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN 'nan'::DOUBLE WHEN 5 THEN 8.0 WHEN 6 THEN -0.5 END AS number FROM events""")
 def vcf_double_parse(spark, sf):
-    text = F.when(F.col("event_id") % 7 == 0, F.col("value").cast("string")).otherwise(_pick(F.col("event_id"), "x", "Infinity", "-INF", "-nan", "1.2.3", "0x1p3", " -5e-1 "))
+    text = F.when(F.col("event_id") % 7 == 0, F.col("value").cast("double").cast("string")).otherwise(_pick(F.col("event_id"), "x", "Infinity", "-INF", "-nan", "1.2.3", "0x1p3", " -5e-1 "))
     text = F.when((F.col("event_id") % 7).between(0, 6), text)  # a row without an id, or with one below 0, has no text
     return ad.read(spark, sf, "events").select("event_id", va.vcf_double(text).alias("number"))
 
